@@ -4,8 +4,8 @@ Groups of equal texts are placed together. To keep the packing itself bounded, g
 a fixed number of units first:
 
 * a group that holds over ``1 / (shards * UNITS)`` of the bytes, tokens or rows is a unit of its own
-  (at most ``3 * shards * UNITS`` groups can); one that no shard could hold is dealt by hash into
-  pieces, since no placement keeps such a group together and the sizes near equal;
+  (at most ``3 * shards * UNITS`` groups can); one of ``SPLIT_ROWS`` rows or more that no shard could
+  hold is dealt by hash into pieces, since no placement keeps it together and the loads near equal;
 * all other groups fall by digest into ``shards * UNITS`` hash units.
 
 The driver packs these units, a few thousand whatever the corpus holds: in order of their largest
@@ -25,6 +25,7 @@ from menuspark.storage import materialize
 SHARDS = 16
 UNITS = 256
 PIECES = 8
+SPLIT_ROWS = 64
 SLOT_BUCKETS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,7 +74,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share = F.greatest(F.col("size") / float(whole[0]), F.col("tokens") / float(whole[1]), F.col("n") / float(whole[2]))
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
     large = rows.groupBy("digest").agg(*sums).withColumn("share", share).filter(F.col("share") > 1.0 / (shards * units))
-    pieces = F.when(F.col("share") * shards > 1, F.ceil(F.col("share") * shards * PIECES)).otherwise(1)
+    pieces = F.when((F.col("share") * shards > 1) & (F.col("n") >= SPLIT_ROWS), F.ceil(F.col("share") * shards * PIECES)).otherwise(1)
     large = materialize(large.select("digest", pieces.cast("int").alias("pieces")), "shard-large")
 
     piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("id", "row"), F.col("pieces"))).otherwise(0)

@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,30 +161,30 @@ def read(stream: BinaryIO, read_bytes: int = READ_BYTES) -> Iterator[Record]:
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_least: int = REVISIT_LEAST) -> DataFrame:
     """(archive, data) with a record for every row of ``pages``.
 
-    Of rows with equal payloads of at least ``revisit_least`` bytes the smallest id is the response
-    (null ids last; of rows that repeat it, one) and the others revisit it. A null payload is empty.
+    Of rows with equal payloads of at least ``revisit_least`` bytes those with the smallest id (null
+    ids last) are responses and the others revisit it; rows that repeat an id and its payload thus
+    share a record type. A null payload is empty.
     The groups come from a narrow table of digests; a payload moves only if the table of groups that
     have copies is too large to broadcast.
     """
     source = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
-        F.monotonically_increasing_id().alias("row"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row"))
-    narrow = source.select("page_id", "row", "digest", F.octet_length("payload").alias("bytes")).filter(F.col("bytes") >= revisit_least)
-    copied = materialize(narrow.groupBy("digest").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1").select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.row").alias("first_row")), "warc-copied")
-    marked = source.join(sized(copied, copied.count(), 80), "digest", "left").select("page_id", "row", "url", "payload", "refers_to", F.coalesce(F.col("row") != F.col("first_row"), F.lit(False)).alias("revisit"))
+    narrow = source.filter(F.octet_length("payload") >= revisit_least).select("page_id", "digest")
+    copied = materialize(narrow.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("refers_to")).filter("n > 1").select("digest", "refers_to"), "warc-copied")
+    again = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    marked = source.join(sized(copied, copied.count(), 64), "digest", "left").select("page_id", "url", "payload", "refers_to", again.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
-        size, name = 0, ""
+        size, made, name = 0, 0, ""
         for batch in batches:
-            for page_id, row, url, payload, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, payload, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not parts:
-                    name = f"pages-{row:016x}.warc.gz"
-                    parts = [info_record(name)]
+                    name = f"pages-{TaskContext.get().partitionId():06d}-{made:06d}.warc.gz"
+                    parts, made = [info_record(name)], made + 1
                 parts.append(page_record(page_id, url, payload, revisit, refers_to))
                 size += len(payload)
                 if size >= ARCHIVE_BYTES:
