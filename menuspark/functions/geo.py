@@ -54,11 +54,12 @@ def vincenty_metres(lat1, lon1, lat2, lon2) -> np.ndarray:
         return np.where(done | (ss == 0), b * aa * (sigma - ds), np.nan)
 
 
-@F.pandas_udf("double")
-def _geodesic(points: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for lat1, lon1, lat2, lon2 in points:
-        yield pd.Series(vincenty_metres(lat1, lon1, lat2, lon2))
+def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """``vincenty_metres`` over columns."""
 
+    @F.pandas_udf("double")
+    def run(points: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b, c, d in points:
+            yield pd.Series(vincenty_metres(a, b, c, d))
 
-def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    return _geodesic(lat1, lon1, lat2, lon2)
+    return run(lat1, lon1, lat2, lon2)

@@ -153,7 +153,7 @@ def split_name(text: Column) -> Column:
 
 def composition(text: Column, most: int = 6) -> Column:
     """The first distinct parts of a description, cut at ``& · , ; +``, of 2 to 48 characters."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[&·,;+]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[&·,;+]"), lambda p: F.trim(p))
     return F.slice(F.array_distinct(F.filter(parts, lambda p: F.length(p).between(2, 48))), 1, most)
 
 
