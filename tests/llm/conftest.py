@@ -2,13 +2,6 @@ from __future__ import annotations
 
 import pytest
 
-from menuspark.session import build_session
-
-
-@pytest.fixture(scope="session")
-def spark():
-    return build_session("local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
-
 
 @pytest.fixture
 def frame(spark):
