@@ -104,12 +104,14 @@ def one_per_source_key(items: DataFrame, keys: list[str], unicode: bool = True)
     """
     described = optional_text(F.col("description"), unicode)
     marked = items.withColumn("__described", described).withColumn("__name", dish_name(F.col("name"), unicode)).withColumn("__section", dish_name(F.coalesce("section", F.lit("")), unicode))
-    price = F.struct(F.coalesce("price_minor", F.lit(-1)), F.upper("currency"))
-    facts = marked.groupBy(*keys).agg(F.countDistinct("__name").alias("names"), F.countDistinct("__section").alias("sections"), F.countDistinct(price).alias("prices"), F.countDistinct("__described").alias("descriptions"), F.count("*").alias("observations"))
-    clash = (F.col("names") > 1) | (F.col("sections") > 1) | (F.col("prices") > 1) | (F.col("descriptions") > 1)
+    traits = {"names": F.col("__name"), "sections": F.col("__section"), "prices": F.struct(F.coalesce("price_minor", F.lit(-1)), F.upper("currency")), "descriptions": F.col("__described")}
+    hashed = marked.select(*keys, *[F.when(c.isNotNull(), F.xxhash64(c)).alias(n) for n, c in traits.items()])
+    spread = hashed.groupBy(*keys).agg(*[(F.min(n) < F.max(n)).alias(n) for n in traits])
+    split = spread.select(*keys, F.coalesce(F.greatest(*[F.coalesce(n, F.lit(False)) for n in traits]), F.lit(False)).alias("split"))
+    clashing = hashed.join(split.filter("split").select(*keys), keys, "left_semi").groupBy(*keys).agg(*[F.countDistinct(n).alias(n) for n in traits], F.count("*").alias("observations"))
     order = [F.col("__described").isNull(), F.desc("confidence"), F.desc(F.length(F.coalesce("excerpt", F.lit("")))), F.asc("position"), F.asc("item_id")]
-    best = top_per_key(marked, keys, order).join(facts.filter(~clash).select(*keys), keys, "left_semi").drop("__described", "__name", "__section")
-    return best, facts.filter(clash)
+    best = top_per_key(marked, keys, order).join(split.filter("NOT split").select(*keys), keys, "left_semi").drop("__described", "__name", "__section")
+    return best, clashing
 
 
 def needs_reextract(stored: Column, current: Column) -> Column:

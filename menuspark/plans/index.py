@@ -30,4 +30,4 @@ def current_items(d: Domain, as_of: Column, fresh: bool = True, city: str | None
     latest = latest_snapshots(d, as_of, fresh)
     if city is not None:
         latest = latest.filter(F.lower("city") == city.lower())
-    return latest.withColumnRenamed("name", "restaurant_name").join(d.items, "snapshot_id")
+    return d.items_of(latest.withColumnRenamed("name", "restaurant_name"))

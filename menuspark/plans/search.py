@@ -11,6 +11,7 @@ from menuspark.operators.latest import latest_per_key
 from menuspark.operators.match import match_tiers
 from menuspark.plans.index import current_items
 from menuspark.sources.driver_tables import Domain
+from menuspark.storage import materialize
 
 
 def check_request(query: str, limit: int, latitude: float | None, longitude: float | None, sort: str) -> None:
@@ -35,10 +36,11 @@ def canonical_routes(d: Domain, query: str) -> DataFrame:
     return concept.join(d.menu_aliases, "concept_id").select("menu_alias", F.col("concept_id").alias("canonical_id"), "concept_slug", "canonical_name")
 
 
-def opening_states(d: Domain, as_of: Column) -> DataFrame:
+def opening_states(d: Domain, as_of: Column, shown: DataFrame | None = None) -> DataFrame:
     """(restaurant_id, opening_state) of restaurants with a fresh, verified kitchen schedule; all others
-    are unknown."""
-    fresh = d.hours_sources.filter(F.col("enabled") & (F.col("verification_status") == "verified") & is_fresh(as_of, F.col("last_checked_at"), F.col("interval_minutes")))
+    are unknown. ``shown``: the restaurants asked for, a bounded list."""
+    hours_sources = d.hours_sources if shown is None else d.hours_sources.join(F.broadcast(shown), "restaurant_id", "left_semi")
+    fresh = hours_sources.filter(F.col("enabled") & (F.col("verification_status") == "verified") & is_fresh(as_of, F.col("last_checked_at"), F.col("interval_minutes")))
     latest = latest_per_key(d.hours_snapshots.join(fresh.select("hours_source_id", "restaurant_id", "time_zone", "last_checked_at", "interval_minutes"), "hours_source_id"), ["restaurant_id"], "fetched_at", "hours_snapshot_id")
     local = F.from_utc_timestamp(as_of, F.col("time_zone"))
     covers = interval_open(F.col("iso_weekday"), F.col("opens"), F.col("closes"), F.col("next_day"), local)
@@ -68,8 +70,8 @@ def search(d: Domain, query: str, city: str, as_of: Column, limit: int = 20, lat
         matched = matched.withColumn("distance", F.round(metres(F.col("lat"), F.col("lon"), F.lit(latitude), F.lit(longitude)), 3))
     near = [F.asc_nulls_last("distance")] if latitude is not None else []
     order = [*(near if sort == "distance" else []), F.desc("score"), *(near if sort == "relevance" else []), F.desc("confidence"), F.desc("fetched_at"), F.asc("restaurant_name"), F.asc("position"), F.asc("item_id")]
-    top = matched.orderBy(*order).limit(limit)
-    enriched = top.join(opening_states(d, as_of), "restaurant_id", "left").join(live_action(d, "booking", as_of), "restaurant_id", "left").join(live_action(d, "order", as_of), "restaurant_id", "left")
+    top = materialize(matched.orderBy(*order).limit(limit), "search-top")  # at most 50 rows
+    enriched = top.join(opening_states(d, as_of, top.select("restaurant_id").distinct()), "restaurant_id", "left").join(live_action(d, "booking", as_of), "restaurant_id", "left").join(live_action(d, "order", as_of), "restaurant_id", "left")
     return enriched.select("item_id", "restaurant_id", "name", "city", "price_minor", "match_type", "score", "concept_slug", "distance", F.coalesce("opening_state", F.lit("unknown")).alias("opening_state"), "booking_url", "order_url")
 
 

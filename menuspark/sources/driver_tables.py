@@ -89,7 +89,15 @@ class Domain:
     @cached_property
     def items(self) -> DataFrame:
         """Items have no natural key: the id is a digest of the whole row."""
-        li, p = self._table("lineitem"), self._table("part")
+        return self._as_items(self._table("lineitem"))
+
+    def items_of(self, snapshots: DataFrame) -> DataFrame:
+        """``snapshots`` (snapshot_id, ...) joined with their items. The join comes before the items'
+        columns are computed, so only rows that are wanted pay for them."""
+        return self._as_items(self._table("lineitem").join(snapshots, F.col("l_orderkey") == F.col("snapshot_id")), snapshots.columns)
+
+    def _as_items(self, li: DataFrame, carried: list[str] | None = None) -> DataFrame:
+        p = self._table("part")
 
         def cents(c: str) -> Column:
             return F.round(F.col(c) * 100).cast("long")
@@ -97,7 +105,7 @@ class Domain:
         identity = F.sha2(F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", cents("l_quantity"), cents("l_extendedprice"), cents("l_discount"), cents("l_tax"), "l_returnflag", "l_linestatus"), 256)
         return li.join(p, li.l_partkey == p.p_partkey).select(
             identity.alias("item_id"),
-            F.col("l_orderkey").alias("snapshot_id"),
+            *([li[c] for c in carried] if carried else [F.col("l_orderkey").alias("snapshot_id")]),
             F.col("p_name").alias("name"),
             F.lower("p_name").alias("normalized_name"),
             F.col("p_brand").alias("description"),
