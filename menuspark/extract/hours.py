@@ -9,8 +9,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from menuspark.extract.html import visible_lines
 
 # Weekday names and abbreviations, by ISO number.
@@ -192,3 +197,25 @@ def kitchen_hours(html: str | None, hints: list[str] | None = None) -> list[Inte
     if not found:
         raise HoursError("NO_HOURS_FOUND")
     return sorted(found)
+
+
+def extract_hours(pages: DataFrame, id_col: str, html_col: str, hints_col: str | None = None) -> DataFrame:
+    """(id, iso_weekday, opens, closes, next_day, error): a row per interval, or one row with the error code
+    where a page's hours are missing or ambiguous."""
+    schema = pa.schema([(id_col, pa.int64()), ("iso_weekday", pa.int32()), ("opens", pa.int32()), ("closes", pa.int32()), ("next_day", pa.bool_()), ("error", pa.string())])
+
+    def rows(key: int | None, html: str | None, hints: list[str] | None) -> Iterator[tuple]:
+        try:
+            for i in kitchen_hours(html, hints):
+                yield key, i.weekday, i.opens, i.closes, i.next_day, None
+        except HoursError as e:
+            yield key, None, None, None, None, e.code
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [r for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in rows(*row)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in found], schema=schema)
+
+    hints = F.col(hints_col) if hints_col else F.lit(None)
+    slim = pages.select(F.col(id_col).cast("long"), F.col(html_col).cast("string"), hints.cast("array<string>").alias("hints"))
+    return slim.mapInArrow(run, f"`{id_col}` long, iso_weekday int, opens int, closes int, next_day boolean, error string")

@@ -40,7 +40,10 @@ class LineScanner(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "br":
-            self._end_line()
+            if any(level is not None for _, _, level in self._open):
+                self._parts.append(" ")  # a heading over two lines is one heading
+            else:
+                self._end_line()
             return
         if tag in VOID:
             return

@@ -15,7 +15,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -27,6 +27,7 @@ from menuspark.extract.html import VOID, annotated_lines
 
 HEURISTIC, STRUCTURED, EMBEDDED = "html_heuristic", "json_ld", "api"
 _LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W_]+")
 _CARD_PARTS = {v: k for k, v in words.CARD_IDS.items()}
 _STRUCK = "product-price-before-discount"
 
@@ -35,11 +36,13 @@ def squeeze(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).split())
 
 
+@lru_cache(maxsize=8192)
 def normal_name(text: str) -> str:
     """NFKC, lower case, everything but letters and digits as one space."""
-    return " ".join(re.sub(r"[\W_]+", " ", unicodedata.normalize("NFKC", text).lower()).split())
+    return " ".join(_OTHER.sub(" ", unicodedata.normalize("NFKC", text).lower()).split())
 
 
+@lru_cache(maxsize=8192)
 def source_key(name: str, section: str | None = None) -> str:
     return hashlib.sha256(f"{normal_name(section or '')}\0{normal_name(name)}".encode()).hexdigest()
 
@@ -489,6 +492,204 @@ def first_cards(page: Page) -> list[Item]:
     return _by_key(items)
 
 
+# --- scoped readings ----------------------------------------------------------------------------
+
+_NUMBERED = re.compile(r"(\d{1,3})\s*[.)]?\s+(.+)")
+_TITLE_NUMBER = re.compile(r"\d{1,3}\s*[.)]\s*(?=.*[^\W\d_])")
+
+
+def food_scope(rows: list[tuple[str, int | None]]) -> list[tuple[str, int | None]]:
+    """The rows of food: drink headings take their whole subtree away, a closing section ends the menu
+    once food was seen, and in numbered menus extras are skipped up to the next number."""
+    numbered = len({normal_name(t) for t, _ in rows if _TITLE_NUMBER.match(t)}) >= 2
+    out: list[tuple[str, int | None]] = []
+    blocked: int | None = None
+    extras = food = False
+    for text, level in rows:
+        if level is not None:
+            extras = False
+            if blocked is not None and level <= blocked:
+                blocked = None
+            if blocked is None and food and words.MENU_END.fullmatch(text):
+                break
+            if blocked is None and words.DRINK_SECTION.fullmatch(text):
+                blocked = level
+        if blocked is not None:
+            continue
+        if level is None:
+            if numbered and words.EXTRAS.match(text):
+                extras = True
+            elif extras and _TITLE_NUMBER.match(text):
+                extras = False
+            if extras or words.MORE.fullmatch(text):
+                continue
+            food = food or bool(prices.STANDALONE.fullmatch(text) or prices.INLINE.fullmatch(text))
+        out.append((text, level))
+    return out
+
+
+def numbered_items(rows: list[tuple[str, int | None]]) -> list[Item]:
+    """Numbered titles with a price in the eight lines below. At least two titles, half of them priced."""
+    lines = [t for t, _ in rows]
+    at = [i for i, t in enumerate(lines) if _TITLE_NUMBER.match(t)]
+    titles, items = set(), []
+    for i, after in zip(at, [*at[1:], len(lines)], strict=False):
+        name = _TITLE_NUMBER.sub("", words.ALLERGEN_BRACKET.sub("", lines[i])).strip()
+        titles.add(normal_name(name))
+        rest: list[str] = []
+        for j in range(i + 1, min(after, i + 9)):
+            if words.EXTRAS.match(lines[j]):
+                break
+            alone = prices.STANDALONE.fullmatch(lines[j])
+            priced = (None, prices.plausible(prices.read_compact(lines[j]))) if alone else prices.read_inline(lines[j])
+            if priced is None or priced[1] is None:
+                if rows[j][1] is None:
+                    rest.append(lines[j])
+                continue
+            rest += [priced[0]] if priced[0] else []
+            items.append(Item(name, priced[1], i, 0.92, " ".join(rest).strip() or None, excerpt=" — ".join(lines[i : j + 1])[:1000]))
+            break
+    items = _by_key(i for i in items if is_item(i))
+    return items if len(titles) >= 2 and len(items) >= 2 and 2 * len(items) >= len(titles) else []
+
+
+def _script(text: str) -> str | None:
+    counts = Counter(unicodedata.name(c, "?").split()[0] for c in text if c.isalpha())
+    return counts.most_common(1)[0][0] if counts else None
+
+
+def block_items(rows: list[tuple[str, int | None]]) -> list[Item]:
+    """One item per price that stands alone, from the block since the price before: a capitalised line right
+    above, else the block's last heading where a description or its repeated level supports it, else the first
+    line that may be a title. A heading in another script above belongs to the title. At least three prices,
+    three in four of them with an item."""
+    lines = [t for t, _ in rows]
+    at = [i for i, t in enumerate(lines) if prices.STANDALONE.fullmatch(t)]
+    levels = Counter(lv for _, lv in rows if lv is not None)
+
+    def title(text: str, most_words: int) -> bool:
+        return _title(text.rstrip(".!?"), 180, most_words) and not not_a_dish(text) and text[-1:] not in ",;:" and not words.DESCRIPTION_LEAD.match(text)
+
+    found: list[tuple[Item, int]] = []
+    for start, end in zip([-1, *at], at, strict=False):
+        minor = prices.plausible(prices.read_compact(lines[end]))
+        block = range(start + 1, end)
+        if minor is None or not block:
+            continue
+        heads = [i for i in block if rows[i][1] is not None]
+        texts = [i for i in block if rows[i][1] is None]
+        head = end - 1 if _capitals(lines[end - 1]) and title(lines[end - 1], 16) else None
+        if head is None and heads:
+            below = next((lines[i] for i in texts if i > heads[-1]), "")
+            repeated = levels[rows[heads[-1]][1]] >= 2
+            described = len(below.split()) >= 4 or below[-1:] in tuple(".!?")
+            strong = len(below.split()) >= 6 or below[-1:] in tuple(".!?")
+            if below and (described if repeated else strong) and title(lines[heads[-1]], 8) or not below and repeated and title(lines[heads[-1]], 16):
+                head = heads[-1]
+        if head is None:
+            head = next((i for i in texts if i > (heads[-1] if heads else -1) and title(lines[i], 8)), None)
+        if head is None:
+            continue
+        name = split_name(lines[head])[0] if "," not in lines[head] else lines[head]
+        if head > start + 1 and rows[head - 1][1] is not None and title(lines[head - 1], 8) and _script(lines[head - 1]) not in (None, _script(name)):
+            name = squeeze(f"{lines[head - 1]} {name}")
+        rest = " ".join(lines[i] for i in texts if i > head and not words.EXTRAS.match(lines[i]) and not words.MORE.fullmatch(lines[i])).strip() or None
+        found.append((Item(name, minor, head, 0.9, rest, excerpt=" — ".join(lines[head : end + 1])[:1000]), head))
+
+    def section_of(item: Item) -> str | None:
+        own = rows[item.position][1]
+        above = (t for t, lv in reversed(rows[: item.position]) if lv is not None and (own is None or lv < own))
+        return next((t for t in above if words.FOOD_SECTION.fullmatch(t) or words.NEXT_SCOPE.fullmatch(t)), None)
+
+    items = _by_key(with_section_identity([i for i, _ in found], section_of))
+    return items if len(at) >= 3 and len(items) >= 3 and 4 * len(items) >= 3 * len(at) else []
+
+
+def trailing_items(page: Page) -> list[Item]:
+    """Prices that close a card: on the title's line, or up to twelve lines below a title, a numbered title
+    first. Four items at least. An explicit a-la-carte scope with four items stands for the whole menu; a
+    dense ascending numbering of eight or more drops the rest and the numbers."""
+    rows = page.annotated
+    lines = [t for t, _ in rows]
+
+    def closing(text: str) -> tuple[prices.Price, str] | None:
+        whole = prices.read_line(text)
+        if whole:
+            return whole, ""
+        m = prices.MARKED.search(text)
+        minor = prices.plausible(prices.amount(m["amount"])) if m else None
+        left = re.sub(r"(?:kr\.?|nok)\s*$", "", text[: m.start()], flags=re.I).strip() if minor is not None else ""
+        if minor is None or prices.MARKED.search(left):
+            return None
+        return prices.Price(minor, "from" if m["from"] else "exact"), left
+
+    items = []
+    for at, line in enumerate(lines):
+        end = closing(line)
+        if end is None:
+            continue
+        price, left = end
+        above = []
+        for i in range(at - 1, max(-1, at - 13), -1):
+            if closing(lines[i]):
+                break
+            if _title(lines[i]):
+                above.append(i)
+        numbered = next((i for i in above if _NUMBERED.fullmatch(lines[i])), None)
+        head = numbered if numbered is not None else at if left and _title(left) else above[0] if above else None
+        if head is None:
+            continue
+        name = left if head == at else lines[head]
+        rest = list(dict.fromkeys([*lines[head + 1 : at], *([left] if left and head != at else [])]))
+        items.append(Item(name, price.minor, head, 0.95, " ".join(rest) or None, price_kind=price.kind, excerpt=" — ".join(lines[head : at + 1])[:1000]))
+
+    scope = next((i for i, t in enumerate(lines) if words.A_LA_CARTE.fullmatch(t)), None)
+    if scope is not None:
+        end = next((i for i in range(scope + 1, len(lines)) if words.NEXT_SCOPE.fullmatch(lines[i])), len(lines))
+        inside = [replace(i, section=words.A_LA_CARTE_SECTION, confidence=0.99) for i in items if scope < i.position < end]
+        items = inside if len(inside) >= 4 else items
+
+    def section_of(item: Item) -> str | None:
+        return item.section or next((t for t, lv in reversed(rows[: item.position]) if lv is not None and _title(t)), None)
+
+    items = _by_key(with_section_identity(items, section_of))
+    items = _dense_numbering(items) or items
+    return items if len(items) >= 4 else []
+
+
+def _dense_numbering(items: list[Item]) -> list[Item] | None:
+    """The numbered items without their numbers, if these ascend from at most 5 and fill seven in ten of
+    their span; contradicting repeats of a number spoil it."""
+    by_number: dict[int, Item] = {}
+    for item in items:
+        m = _NUMBERED.fullmatch(item.name)
+        if not m or not 1 <= int(m[1]) <= 300 or not _LETTER.search(m[2]):
+            continue
+        named = replace(item, name=m[2].strip())
+        old = by_number.setdefault(int(m[1]), named)
+        if (old.normalized, old.price_minor, old.price_kind) != (named.normalized, named.price_minor, named.price_kind):
+            return None
+    numbers = list(by_number)
+    span = numbers[-1] - numbers[0] + 1 if numbers else 0
+    if len(numbers) < 8 or any(b <= a for a, b in zip(numbers, numbers[1:], strict=False)) or numbers[0] > 5 or len(numbers) < 0.7 * span:
+        return None
+    return list(by_number.values())
+
+
+def general_reading(page: Page) -> list[Item]:
+    """The best reading of the food scope: numbered titles, else price blocks where they yield at least as
+    much as plain lines, else plain lines."""
+    rows = food_scope(page.annotated)
+    numbered = numbered_items(rows)
+    if numbered:
+        return numbered
+    scoped = Page("")
+    scoped.__dict__["annotated"] = rows
+    plain = [i for i in plain_items(scoped) if not words.FOOD_SECTION.fullmatch(i.name)]
+    blocks = block_items(rows)
+    return blocks if blocks and len(blocks) >= len(plain) else plain
+
+
 # --- putting readings together ------------------------------------------------------------------
 
 
@@ -580,9 +781,13 @@ def extract(html: str | None) -> list[Item]:
         return embedded
     cards = card_items(page)
     if cards:
-        return without_echoes([i for i in map(clean_name, upgrade_from(supplement(cards, []), [])) if is_item(i)])
-    plain, headed, wrapped = plain_items(page), heading_items(page), wrapped_items(page)
-    if headed and (not plain or len(headed) >= math.ceil(len(plain) * 0.75)):
+        return without_echoes([i for i in map(clean_name, cards) if is_item(i)])
+    plain, headed, wrapped, trailing = general_reading(page), heading_items(page), wrapped_items(page), trailing_items(page)
+    if len(trailing) >= 8 and all(_NUMBERED.match(i.excerpt or "") for i in trailing):
+        return without_echoes(outside_drinks([i for i in map(clean_name, trailing) if is_item(i)], page.lines))
+    if trailing and (not plain or len(trailing) >= max(6, math.ceil(len(plain) * 1.5))):
+        chosen = trailing
+    elif headed and (not plain or len(headed) >= math.ceil(len(plain) * 0.75)):
         chosen = headed
     elif wrapped and len(wrapped) >= 2 * len(plain):
         chosen = wrapped

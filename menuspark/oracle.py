@@ -442,6 +442,21 @@ _SQL = {
         SELECT doc_id, count(*) AS lines, coalesce(sum(short_length), 0)::BIGINT AS short_total FROM n GROUP BY doc_id""",
 }
 
+# A "small plate" is a section label to the menu reader and never a dish.
+_DISHES = """WITH dishes AS (SELECT l_orderkey AS snapshot_id, p_name AS name, 40 + max(l_partkey) % 900 AS kr FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+"""
+_SQL |= {
+    "extracted_line_menus": f"{_DISHES} SELECT snapshot_id, {_source_key('name', chr(39) * 2)} AS source_key, name, kr * 100 AS price_minor, 0.78::DOUBLE AS confidence FROM dishes WHERE name <> 'small plate'",
+    "extracted_linked_data": f"{_DISHES} SELECT snapshot_id, name, kr * 100 AS price_minor, 'NOK' AS currency, 'json_ld' AS method FROM dishes",
+    "extracted_printed_menus": f"{_DISHES} SELECT snapshot_id, name, 'MAIN DISHES' AS section, kr * 100 AS price_minor, 'multiple' AS price_kind, (kr + 20) * 100 AS price_max_minor FROM dishes",
+    "extracted_hours": _with("SELECT hours_snapshot_id, iso_weekday, opens, closes, next_day FROM hours_intervals"),
+    "menu_watch_outcomes": BASE + """, dishes AS (SELECT l_orderkey AS snapshot_id, count(DISTINCT p_name) FILTER (WHERE p_name <> 'small plate') AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+        newest AS (SELECT DISTINCT ON (source_id) source_id, snapshot_id FROM snapshots ORDER BY source_id, fetched_at DESC, snapshot_id DESC)
+        SELECT source_id, CASE WHEN source_id % 7 = 0 THEN 'not_modified' WHEN source_id % 11 = 0 THEN 'fetch_error' WHEN n < minimum_items THEN 'below_minimum' ELSE 'changed' END AS outcome,
+            CASE WHEN source_id % 7 = 0 OR source_id % 11 = 0 THEN 0 ELSE n END AS item_count
+        FROM newest JOIN dishes USING (snapshot_id) JOIN menu_sources USING (source_id)""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from menuspark.extract import html as html_text
+from menuspark.extract import hours as hours_text
+from menuspark.extract import menu, printed
 from menuspark.functions import clock, text
 from menuspark.functions.geo import haversine
 from menuspark.operators import latest, lines, match, queues, snapshots, state
-from menuspark.plans import browse, demand, hours, index, owner, quality, registry, search
+from menuspark.plans import browse, demand, hours, index, ingestion, owner, quality, registry, search
 from menuspark.sources.driver_tables import Domain, event_now, menu_now
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -602,3 +604,70 @@ def dominant_scripts(d):
 @query
 def page_visible_text(d):
     return html_text.visible_text(d._table("pages"), "page_id", "html")
+
+
+# --- extraction, from pages written of the tables -----------------------------------------------
+
+
+def _dishes(d) -> DataFrame:
+    """(snapshot_id, name, kr): one row per name of a snapshot."""
+    parts = d._table("lineitem").join(d.impression_items, F.col("l_partkey") == F.col("part_id"))
+    return parts.groupBy(F.col("l_orderkey").alias("snapshot_id"), "name").agg((40 + F.max("l_partkey") % 900).alias("kr"))
+
+
+def _spread(pages: DataFrame) -> DataFrame:
+    """Pages made by an aggregate are few bytes but much work: deal them over all cores, which AQE would
+    otherwise gather into one task."""
+    return pages.repartition(pages.sparkSession.sparkContext.defaultParallelism)
+
+
+def _pages(d, row, before: str = "<html><body>", after: str = "</body></html>", between: str = "") -> DataFrame:
+    rows = _dishes(d).groupBy("snapshot_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", row.alias("row")))), lambda s: s["row"]), between).alias("rows"))
+    pages = rows.select("snapshot_id", F.concat(F.lit(before), "rows", F.lit(after)).alias("html"))
+    return _spread(pages)
+
+
+@query
+def extracted_line_menus(d):
+    """Names that end in prices, read back from pages."""
+    pages = _pages(d, F.format_string("<p>%s %d,-</p>", "name", "kr"))
+    return menu.extract_items(pages, "snapshot_id", "html").select("snapshot_id", "source_key", "name", "price_minor", "confidence")
+
+
+@query
+def extracted_linked_data(d):
+    row = F.format_string('{"@type":"MenuItem","name":"%s","offers":{"price":"%d","priceCurrency":"nok"}}', "name", "kr")
+    pages = _pages(d, row, '<html><body><script type="application/ld+json">[', "]</script></body></html>", ",")
+    return menu.extract_items(pages, "snapshot_id", "html").select("snapshot_id", "name", "price_minor", "currency", "method")
+
+
+@query
+def extracted_printed_menus(d):
+    """Printed lines of two prices under a capitalised section."""
+    pages = _pages(d, F.format_string("%s %d / %d", "name", "kr", F.col("kr") + 20), "MAIN DISHES\n", "", "\n")
+    finder = lambda text: printed.scoped_items((text or "").split("\n"))
+    return menu.extract_items(pages, "snapshot_id", "html", finder).select("snapshot_id", "name", "section", "price_minor", "price_kind", "price_max_minor")
+
+
+@query
+def extracted_hours(d):
+    """Weekly hours, written as text and read back."""
+    days = F.element_at(F.array(*map(F.lit, ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"))), F.col("iso_weekday"))
+
+    def clock_text(c):
+        return F.format_string("%02d:%02d", (F.col(c) / 60).cast("int"), F.col(c) % 60)
+
+    line = F.concat(F.lit("<p>"), days, F.lit(" "), clock_text("opens"), F.lit(" - "), clock_text("closes"), F.lit("</p>"))
+    pages = d.hours_intervals.groupBy("hours_snapshot_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("rows"))
+    html = _spread(pages.select("hours_snapshot_id", F.concat(F.lit("<html><body>"), "rows", F.lit("</body></html>")).alias("html")))
+    return hours_text.extract_hours(html, "hours_snapshot_id", "html").select("hours_snapshot_id", "iso_weekday", "opens", "closes", "next_day")
+
+
+@query
+def menu_watch_outcomes(d):
+    """A watch pass over the latest page of every source, none of which was seen before."""
+    newest = latest.latest_per_key(d.snapshots, ["source_id"], "fetched_at", "snapshot_id")
+    pages = _pages(d, F.format_string("<p>%s %d,-</p>", "name", "kr")).join(newest, "snapshot_id").select("source_id", "html", "fetched_at", F.when(F.col("source_id") % 7 == 0, 304).when(F.col("source_id") % 11 == 0, 500).otherwise(200).alias("status"))
+    known = d.menu_sources.select("source_id", "minimum_items", *[F.lit(None).cast("string").alias(c) for c in ("last_raw_sha256", "last_fingerprint", "last_extractor")])
+    empty = d.spark.createDataFrame([], "source_id long, source_key string, name string, description string, section string, price_minor long, currency string, price_kind string, price_max_minor long")
+    return ingestion.watch(pages, known, empty, "v1").outcomes.select("source_id", "outcome", "item_count")

@@ -125,3 +125,31 @@ def test_hours_errors(body, code):
 def test_hours_scope_hint():
     body = page("<p>Hours Grünerløkka</p><p>Mon 10-12</p><p>Hours Sentrum</p><p>Mon 10-13</p>")
     assert [i.closes for i in hours.kitchen_hours(body, ["sentrum"])] == [780]
+
+
+def test_numbered_and_block_readings():
+    rows = menu.Page(page("<h2>Mat</h2><p>1. Ramen (e,m)</p><p>god suppe</p><p>149,-</p><p>Ekstra</p><p>Egg</p><p>45 kr</p><p>2) Gyoza</p><p>dumplings 95,-</p><h2>Kontakt</h2><p>3. Nei</p><p>99,-</p>")).annotated
+    items = menu.numbered_items(menu.food_scope(rows))
+    assert [(i.name, i.price_minor, i.description, i.confidence) for i in items] == [("Ramen", 14900, "god suppe", 0.92), ("Gyoza", 9500, "dumplings", 0.92)]
+    body = "".join(f"<h3>Rett {c}</h3><p>En lang og god beskrivelse</p><p>{p} kr</p>" for c, p in zip("abc", (110, 120, 130), strict=True))
+    assert [(i.name, i.description, i.confidence) for i in menu.block_items(menu.Page(page(body)).annotated)] == [(f"Rett {c}", "En lang og god beskrivelse", 0.9) for c in "abc"]
+    two = "".join(f"<h3>拉麵{c}</h3><h3>Ramen {c}</h3><p>{p} kr</p>" for c, p in zip("abc", (110, 120, 130), strict=True))
+    assert [i.name for i in menu.block_items(menu.Page(page(two)).annotated)][0] == "拉麵a Ramen a"
+
+
+def test_trailing_cards_and_numbering():
+    body = "".join(f"<h3>{n}. Rett nr {n}</h3><p>beskrivelse her</p><p>{100 + n},-</p>" for n in range(1, 10))
+    items = menu.trailing_items(menu.Page(page(body)))
+    assert [(i.name, i.price_minor) for i in items] == [(f"Rett nr {n}", 10000 + 100 * n) for n in range(1, 10)]
+    assert [i.name for i in menu.extract(page(body))] == [f"Rett nr {n}" for n in range(1, 10)]
+    scoped = page("<p>Lunsj</p><p>Suppe</p><p>99,-</p><p>A la carte</p>" + "".join(f"<p>Rett {c}</p><p>{p},-</p>" for c, p in zip("abcd", (110, 120, 130, 140), strict=True)) + "<p>Drikke</p><p>Brus</p><p>45,-</p>")
+    assert [(i.name, i.section, i.confidence) for i in menu.trailing_items(menu.Page(scoped))] == [(f"Rett {c}", "A LA CARTA", 0.99) for c in "abcd"]
+
+
+def test_heading_over_two_lines():
+    assert visible_lines(page("<h2>Two<br>lines</h2>")) == ["Two lines"]
+
+
+def test_printed_scopes():
+    items = printed.scoped_items(["MAT", "Pho 189", "LUNSJMENY", "Biff bolle 150", "MIDDAGSMENY", "Biff bolle 250", "COCKTAILS", "Dry Martini 145", "DESSERT", "Is 85", "Vårrull", "25 pr stk"])
+    assert [(i.name, i.price_minor) for i in items] == [("Pho", 18900), ("Biff bolle", 15000), ("Biff bolle", 25000), ("Is", 8500), ("Vårrull", 2500)]
