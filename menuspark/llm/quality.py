@@ -19,9 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from menuspark.storage import materialize
+
 SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 24 << 20
 DICTIONARY_BYTES = 64 << 10
@@ -139,13 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picks = [usable.filter(F.col("label") == k).orderBy(turn, "label_id").limit(sample_rows).select("label_id", "label") for k in (0, 1)]
     picked = picks[0].unionByName(picks[1])
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("binary").alias("text")).filter(F.octet_length("text") > 0)
-    sizes = texts.join(F.broadcast(picked), "label_id").select("label_id", "label", turn.alias("turn"), F.octet_length("text").alias("bytes"), "text")
-    rows: list[tuple[int, bytes]] = []
-    room = {0: sample_bytes, 1: sample_bytes}
-    for r in sizes.orderBy("turn", "label_id").toLocalIterator():
-        if r["bytes"] <= room[r["label"]]:
-            room[r["label"]] -= r["bytes"]
-            rows.append((r["label"], bytes(r["text"])))
+    sample = materialize(texts.join(F.broadcast(picked), "label_id").select("label_id", "label", turn.alias("turn"), F.xxhash64("text").alias("tie"), "text"), "quality-sample")
+    order = Window.partitionBy("label").orderBy("turn", "label_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    bounded = sample.withColumn("running", F.sum(F.octet_length("text").cast("long")).over(order)).filter(F.col("running") <= sample_bytes)
+    rows = [(r["label"], bytes(r["text"])) for r in sorted(bounded.collect(), key=lambda r: (r["turn"], r["label_id"], r["tie"]))]
     return fit([t for k, t in rows if k == 1], [t for k, t in rows if k == 0], counts.get(1, 0) / total)
 
 
