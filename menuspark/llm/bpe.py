@@ -20,14 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-#: Words kept in a worker's cache, and rows handled at once.
-CACHE_WORDS = 400_000
+#: Words kept in a worker's cache; rows and bytes of text handled at once.
+CACHE_WORDS = 200_000
 ROWS_AT_ONCE = 256
+BYTES_AT_ONCE = 1 << 20
 _NONE = np.int64(1) << 40
 
 
@@ -78,11 +80,23 @@ class WordBPE:
         self.reset()
 
     def reset(self) -> None:
+        """Forget the cached words. Their ids lie one after the other in ``flat``, word i at ``start[i]``."""
         self.index: dict[str, int] = {}
-        self.ids_of: list[np.ndarray] = []
+        self.flat = np.zeros(1 << 16, dtype=np.int32)
+        self.start = np.zeros(1 << 14, dtype=np.int64)
+
+    def remember(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, end = len(self.index), int(self.start[len(self.index)])
+        while end + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while n + len(words) >= len(self.start):
+            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
+        self.flat[end : end + len(ids)] = ids
+        self.start[n + 1 : n + 1 + len(words)] = end + np.cumsum(lengths)
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "ids_of", "words", "split_special")} | {"patterns": (self.words.pattern, self.split_special.pattern if self.split_special else None)}
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "flat", "start", "words", "split_special")} | {"patterns": (self.words.pattern, self.split_special.pattern if self.split_special else None)}
 
     def __setstate__(self, state):
         words, split = state.pop("patterns")
@@ -109,8 +123,9 @@ class WordBPE:
                 out += self.words.findall(self.normalise(part))
         return out
 
-    def merge_rounds(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word (no special tokens among them)."""
+    def merge_rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and each word's number of ids (no special tokens
+        among them)."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         lengths = np.array([len(r) for r in raw], dtype=np.int64)
         flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -144,26 +159,31 @@ class WordBPE:
         symbols, owner = np.concatenate(done_symbols or [symbols]), np.concatenate(done_owner or [owner])
         order = np.argsort(owner, kind="stable")
         counts = np.bincount(owner, minlength=len(words))
-        return np.split(symbols[order].astype(np.int32), np.cumsum(counts)[:-1])
+        return symbols[order].astype(np.int32), counts
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as the vocabulary's own library gives them without special tokens added."""
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the offset of each text (one more at the end)."""
         if len(self.index) > CACHE_WORDS:
             self.reset()
         split = [self.split(t) for t in texts]
-        index, fresh = self.index, dict.fromkeys(w for words in split for w in words if w not in self.index)
+        words = [w for own in split for w in own]
+        fresh = dict.fromkeys(w for w in words if w not in self.index)
+        special = [w for w in fresh if w[0] == "\0" and w[1:] in self.special]
         ordinary = [w for w in fresh if w[0] != "\0" or w[1:] not in self.special]
-        for w in fresh:
-            if w[0] == "\0" and w[1:] in self.special:
-                index[w] = len(self.ids_of)
-                self.ids_of.append(np.array([self.special[w[1:]]], dtype=np.int32))
+        if special:
+            self.remember(special, np.array([self.special[w[1:]] for w in special], dtype=np.int32), np.ones(len(special), dtype=np.int64))
         if ordinary:
-            for w, ids in zip(ordinary, self.merge_rounds(ordinary), strict=True):
-                index[w] = len(self.ids_of)
-                self.ids_of.append(ids)
-        ids_of = self.ids_of
-        none = np.zeros(0, dtype=np.int32)
-        return [np.concatenate([ids_of[index[w]] for w in words]) if words else none for words in split]
+            self.remember(ordinary, *self.merge_rounds(ordinary))
+        at = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        lengths = self.start[at + 1] - self.start[at]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        ids = self.flat[np.repeat(self.start[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate(([0], np.cumsum([len(own) for own in split], dtype=np.int64)))]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as the vocabulary's own library gives them without special tokens added."""
+        ids, offsets = self.encode_flat(texts)
+        return [ids[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
     def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
         """Tokens joined by one space: the vocabulary names no decoder, so word ends stay visible."""
@@ -177,22 +197,39 @@ def load(path: str) -> WordBPE:
         return WordBPE(json.load(f))
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """(id, row, ids): the token ids of every row's whole text; a null text counts as empty."""
+def portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``ROWS_AT_ONCE`` rows and, but for a longer single value, ``BYTES_AT_ONCE`` bytes
+    in ``column``."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < batch.num_rows:
+            total = np.cumsum(sizes[at : at + ROWS_AT_ONCE])
+            n = max(1, int(np.searchsorted(total, BYTES_AT_ONCE, side="right")))
+            yield batch.slice(at, n)
+            at += n
+
+
+def _encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, row_col: str | None, with_decoded: bool) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                ids = bpe.encode_batch([t or "" for t in batch.column(2).to_pylist()])
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "row", "ids"])
+        for batch in portions(batches, 2):
+            ids, offsets = bpe.encode_flat([t or "" for t in batch.column(2).to_pylist()])
+            out = {"id": batch.column(0), "row": batch.column(1), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))}
+            if with_decoded:
+                out["decoded"] = pa.array(bpe.decode_batch([ids[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]), pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, row long, ids array<int>")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    return slim.mapInArrow(run, "id long, row long, ids array<int>" + ", decoded string" * with_decoded)
+
+
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, row, ids): the token ids of every row's whole text; a null text counts as empty."""
+    return _encoded(docs, vocabulary, id_col, text_col, row_col, False)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
@@ -206,12 +243,12 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
-                ids = [np.zeros(0, np.int32) if x is None else x for x in (v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in batch.column(at_col))]
+                ids = [v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.zeros(0, np.int32) for v in batch.column(at_col)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bpe.decode_batch(ids), pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """(id, row, ids, decoded) of every row: encode, then decode what was encoded."""
-    return decode(encode(docs, vocabulary, id_col, text_col, row_col), vocabulary)
+    """(id, row, ids, decoded) of every row: encode, then decode what was encoded, in one Arrow stage."""
+    return _encoded(docs, vocabulary, id_col, text_col, row_col, True)

@@ -40,5 +40,16 @@ def test_round_trip_on_rows(frame, library):
     assert len(found) == len(rows)
     want = sorted((str(i), library.encode(t or "", add_special_tokens=False).ids) for i, t, _ in rows)
     assert sorted((str(r.id), r.ids) for r in found) == want
+    again = bpe.decode(bpe.encode(frame(rows), word_vocabulary()), word_vocabulary()).collect()
+    assert sorted((str(r.id), r.ids, r.decoded) for r in again) == sorted((str(r.id), r.ids, r.decoded) for r in found)
     assert all(r.decoded == library.decode(r.ids, skip_special_tokens=False) for r in found)
     assert bpe.round_trip(frame([]), word_vocabulary()).count() == 0
+
+
+def test_portions_are_bounded():
+    import pyarrow as pa
+
+    texts = [None, "a" * 700_000, "b" * 700_000, "c" * 3_000_000, *["d"] * 600]
+    parts = [b.column(0).to_pylist() for b in bpe.portions(iter([pa.RecordBatch.from_pydict({"t": texts})]), 0)]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= bpe.BYTES_AT_ONCE for p in parts) and max(map(len, parts)) <= 256
