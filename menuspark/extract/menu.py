@@ -676,6 +676,33 @@ def _dense_numbering(items: list[Item]) -> list[Item] | None:
     return list(by_number.values())
 
 
+def retitled(items: list[Item], rows: list[tuple[str, int | None]]) -> list[Item]:
+    """Items that took a card's description for their name get the title right above it: a heading, or a
+    short line. Only where at least two items and half of all can be retitled."""
+    lines = [t for t, _ in rows]
+
+    def title_of(item: Item) -> tuple[str, bool] | None:
+        at = item.position
+        if at < 1 or not (len(item.name.split()) >= 4 or item.name[-1] in ".!?" or item.description):
+            return None
+        above, headed = lines[at - 1], rows[at - 1][1] is not None
+        if prices.INLINE.fullmatch(above) or not _title(above, 180, 8 if not headed else 16) or not_a_dish(above) or words.DESCRIPTION_LEAD.match(above) or not headed and _capitals(above):
+            return None
+        return (split_name(above)[0], headed) if normal_name(above) != item.normalized else None
+
+    found = {n: t for n, i in enumerate(items) if (t := title_of(i))}
+    if len(found) < 2 or 2 * len(found) < len(items):
+        return items
+    out = []
+    for n, item in enumerate(items):
+        if n in found:
+            name, headed = found[n]
+            text = ", ".join(x for x in (item.name, item.description) if x)
+            item = replace(item, name=name, description=text, confidence=min(item.confidence, 0.86 if headed else 0.74), excerpt=f"{name} — {item.excerpt or ''}"[:1000])
+        out.append(item)
+    return _by_key(out)
+
+
 def general_reading(page: Page) -> list[Item]:
     """The best reading of the food scope: numbered titles, else price blocks where they yield at least as
     much as plain lines, else plain lines."""
@@ -685,7 +712,7 @@ def general_reading(page: Page) -> list[Item]:
         return numbered
     scoped = Page("")
     scoped.__dict__["annotated"] = rows
-    plain = [i for i in plain_items(scoped) if not words.FOOD_SECTION.fullmatch(i.name)]
+    plain = retitled([i for i in plain_items(scoped) if not words.FOOD_SECTION.fullmatch(i.name)], rows)
     blocks = block_items(rows)
     return blocks if blocks and len(blocks) >= len(plain) else plain
 

@@ -153,3 +153,11 @@ def test_heading_over_two_lines():
 def test_printed_scopes():
     items = printed.scoped_items(["MAT", "Pho 189", "LUNSJMENY", "Biff bolle 150", "MIDDAGSMENY", "Biff bolle 250", "COCKTAILS", "Dry Martini 145", "DESSERT", "Is 85", "Vårrull", "25 pr stk"])
     assert [(i.name, i.price_minor) for i in items] == [("Pho", 18900), ("Biff bolle", 15000), ("Biff bolle", 25000), ("Is", 8500), ("Vårrull", 2500)]
+
+
+def test_descriptions_taken_for_names_get_their_titles():
+    body = "".join(f"<h3>Rett {c}</h3><p>Fersk {c} med avokado og lime {p},-</p>" for c, p in zip("abc", (150, 160, 170), strict=True))
+    items = menu.general_reading(menu.Page(page(body)))
+    assert [(i.name, i.description, i.confidence) for i in items] == [(f"Rett {c}", f"Fersk {c} med avokado og lime", 0.78) for c in "abc"]
+    alone = menu.general_reading(menu.Page(page("<h3>Rett a</h3><p>Fersk laks med avokado og lime 150,-</p><p>Suppe 99,-</p><p>Brød 45,-</p>")))
+    assert "Rett a" not in [i.name for i in alone]
