@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from menuspark.extract.menu import extract_items
 from menuspark.operators.snapshots import diff, extraction_gate, fingerprint, one_per_source_key
-from menuspark.storage import materialize
+from menuspark.storage import materialize, sized
 
 
 @dataclass(frozen=True)
@@ -31,10 +31,11 @@ def watch(pages: DataFrame, sources: DataFrame, previous_items: DataFrame, extra
     ``sources``: (source_id, minimum_items, last_raw_sha256, last_fingerprint, last_extractor);
     ``previous_items``: the items of each source's latest snapshot. Outcomes: not_modified, fetch_error,
     conflicting_keys, below_minimum, suspicious_drop, unchanged, changed. A source whose extractor
-    version is new is extracted again even if its page is the same.
+    version is new is extracted again even if its page is the same. Where the sources fit a broadcast,
+    pages are not shuffled.
     """
     raw = F.sha2(F.coalesce("html", F.lit("")), 256)
-    landed = pages.join(sources, "source_id").withColumn("raw_sha256", raw)
+    landed = pages.join(sized(sources, sources.count(), 256), "source_id").withColumn("raw_sha256", raw)
     same = (F.col("status") == 304) | (raw.eqNullSafe(F.col("last_raw_sha256")) & F.col("last_extractor").eqNullSafe(F.lit(extractor)))
     state = F.when(F.col("status") == 304, "not_modified").when(F.col("status") != 200, "fetch_error").when(same, "not_modified")
     landed = landed.withColumn("early", state)
