@@ -445,7 +445,12 @@ _SQL = {
 # A "small plate" is a section label to the menu reader and never a dish.
 _DISHES = """WITH dishes AS (SELECT l_orderkey AS snapshot_id, p_name AS name, 40 + max(l_partkey) % 900 AS kr FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 """
+_SCRIPTS = ["Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Thai"]
 _SQL |= {
+    "public_urls": r"""WITH h AS (SELECT page_id, lower(url) AS u, regexp_extract(lower(url), '^[a-z]+://(?:[^/?#]*@)?([^/:?#]+)', 1) AS host FROM pages)
+        SELECT page_id, regexp_matches(u, '^https?://') AND NOT regexp_matches(u, '^[a-z]+://[^/?#]*@') AND host <> '' AND host <> 'localhost' AND NOT regexp_matches(host, '[.](localhost|local|internal)$')
+            AND NOT regexp_matches(host, '^((0|10|127|22[4-9]|2[3-5][0-9])[.][0-9.]+|192[.]168[.][0-9.]+|169[.]254[.][0-9.]+|172[.](1[6-9]|2[0-9]|3[01])[.][0-9.]+|100[.](6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])[.][0-9.]+)$') AS public FROM h""",
+    "dominant_scripts": "WITH c AS (SELECT doc_id, [" + ", ".join(f"len(regexp_extract_all(text, '\\p{{{x}}}'))" for x in _SCRIPTS) + f"] AS n FROM documents) SELECT doc_id, CASE WHEN list_max(n) > 0 THEN {_list(_SCRIPTS)}[list_position(n, list_max(n))] END AS script FROM c",
     "extracted_line_menus": f"{_DISHES} SELECT snapshot_id, {_source_key('name', chr(39) * 2)} AS source_key, name, kr * 100 AS price_minor, 0.78::DOUBLE AS confidence FROM dishes WHERE name <> 'small plate'",
     "extracted_linked_data": f"{_DISHES} SELECT snapshot_id, name, kr * 100 AS price_minor, 'NOK' AS currency, 'json_ld' AS method FROM dishes",
     "extracted_printed_menus": f"{_DISHES} SELECT snapshot_id, name, 'MAIN DISHES' AS section, kr * 100 AS price_minor, 'multiple' AS price_kind, (kr + 20) * 100 AS price_max_minor FROM dishes",
