@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,14 +134,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
         return np.sqrt((m.astype(float) ** 2).sum(axis=1))
 
     def vector_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, m in block_rows(batches, BLOCK_ROWS):
-            yield pa.RecordBatch.from_pylist([{"longest": float(lengths(m).max()), "first": int(ids[0]), "ids": ids.tobytes(), "m": m.tobytes()}], schema=pa.schema([("longest", pa.float64()), ("first", pa.int64()), ("ids", pa.binary()), ("m", pa.binary())]))
+        part = TaskContext.get().partitionId()
+        for at, (ids, m) in enumerate(block_rows(batches, BLOCK_ROWS)):
+            yield pa.RecordBatch.from_pylist([{"longest": float(lengths(m).max()), "part": part, "at": at, "ids": ids.tobytes(), "m": m.tobytes()}], schema=pa.schema([("longest", pa.float64()), ("part", pa.int32()), ("at", pa.int32()), ("ids", pa.binary()), ("m", pa.binary())]))
 
     parts = max(1, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-facts[1] // BLOCK_ROWS)))
-    blocks = materialize(rows.repartitionByRange(parts, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").select("id", "v").mapInArrow(vector_blocks, "longest double, first long, ids binary, m binary"), "topk-blocks")
-    order = sorted(((r["longest"], r["first"]) for r in blocks.select("longest", "first").collect()), key=lambda x: (-x[0], x[1]))
+    blocks = materialize(rows.repartitionByRange(parts, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").select("id", "v").mapInArrow(vector_blocks, "longest double, part int, at int, ids binary, m binary"), "topk-blocks")
+    order = sorted(((r["longest"], r["part"], r["at"]) for r in blocks.select("longest", "part", "at").collect()), key=lambda x: (-x[0], *x[1:]))
     longest = np.array([x[0] for x in order])
-    numbered = blocks.join(F.broadcast(spark.createDataFrame([(float(a), int(b), i) for i, (a, b) in enumerate(order)], "longest double, first long, block int")), ["longest", "first"])
+    numbered = blocks.join(F.broadcast(spark.createDataFrame([(p, a, i) for i, (_, p, a) in enumerate(order)], "part int, at int, block int")), ["part", "at"])
 
     def query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, m in block_rows(batches, QUERY_ROWS):

@@ -39,3 +39,16 @@ def test_fewer_candidates_odd_vectors_and_empty_table(spark):
     assert run(spark, rows, 20) == brute(rows, 20)
     assert run(spark, [], 20) == set()
     assert run(spark, [(1, None)], 20) == set()
+
+
+def test_a_row_repeated_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(4)
+    rows = [(7, [3.0] * 8)] * 50 + [(100 + i, [float(x) for x in rng.normal(2.9, 0.1, 8)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    found = topk.top_k(df, F.pmod("vec_id", F.lit(20)) == 0, k=60).collect()
+    fine = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows]
+    for q, a in fine:
+        if q % 20 == 0:
+            want = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in fine if c != q)[:60]
+            assert [(-r.score, r.vec_id) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])] == want
