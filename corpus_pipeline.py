@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from menuspark.llm import bpe, exact_dedup, mixing, quality, queries, simhash
+from menuspark.llm import bpe, exact_dedup, mixing, quality, queries, similar
 from menuspark.storage import materialize, sized, table
 
 ROW = "__menuspark_row"
@@ -44,9 +44,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component keep the row with the smallest id."""
+    """Of each component of texts whose five-word shingles are at least 0.8 alike keep the row with the
+    smallest id."""
     rows = _numbered(docs)
-    found = simhash.near_duplicates(rows, row_col=ROW)
+    found = similar.similar_duplicates(rows, row_col=ROW)
     return _without(rows, found.filter(~F.col("kept")), "pipeline-near")
 
 
