@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as pipeline
 from menuspark.llm import similar
 from menuspark.llm.simhash import MAX_BITS, fingerprint
@@ -12,16 +14,23 @@ def brute_set(text, words=5):
     return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
 
 
-def brute_components(rows, least=0.8):
-    sets, root = {i: brute_set(t) for i, t in rows}, {i: i for i, _ in rows}
-    for i in sets:
-        for j in sets:
-            if i < j and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
-                a, b = root[i], root[j]
-                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+def similar_pairs(rows, least=0.8):
+    sets = {i: brute_set(t) for i, t in rows}
+    return [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+
+
+def brute_components(rows, pairs):
+    root = {i: i for i, _ in rows}
+    for i, j in pairs:
+        a, b = root[i], root[j]
+        root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
     return root
 
 
+def bits_of(text):
+    return similar.fingerprint(similar.shingles(text.encode()))
+
+
 def edited(words, rng, times):
     out = list(words)
     for _ in range(times):
@@ -42,13 +51,40 @@ def corpus():
 
 def test_components_equal_brute_force(frame):
     rows = corpus()
-    want = brute_components(rows)
+    pairs = similar_pairs(rows)
+    blocks = {i: similar.block_keys(bits_of(t)) for i, t in rows}
+    sharing = [(i, j) for i, j in pairs if (blocks[i] == blocks[j]).any()]
+    assert len(sharing) >= 0.95 * len(pairs)  # recall of single pairs, from 0.8 on
+    want = brute_components(rows, sharing)
     for cap in (512, 8):
         found = similar.similar_duplicates(frame([(i, t, "s") for i, t in rows]), bucket_cap=cap).collect()
         assert {r.id: r.component_id for r in found} == want
         assert sorted(r.id for r in found if r.kept) == sorted(set(want.values()))
 
 
+def test_shingles_and_fingerprint_equal_brute_force(monkeypatch):
+    rng = random.Random(4)
+    texts = ["", " \t", "One", "a b\x0bC", "é É x " * 700] + [" ".join(rng.choice(["the", "Of", "and", "é", "x1"]) for _ in range(rng.randrange(1, 600))) for _ in range(20)]
+    want = [len(brute_set("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))) for t in texts]
+    assert [len(similar.shingles(t.encode())) for t in texts] == want
+    for t in texts:
+        own = similar.shingles(t.encode())
+        spread = np.array([np.unpackbits(similar._mixed(np.array([x]) * similar._SEEDS).view(np.uint8)) for x in own]).reshape(len(own), 64 * similar._WORDS)
+        assert (similar.fingerprint(own) == (2 * spread.sum(axis=0) > len(own))).all()
+    whole = [similar.shingles(t.encode()) for t in texts]
+    monkeypatch.setattr(similar, "PIECE", 7)
+    assert all((similar.shingles(t.encode()) == w).all() for t, w in zip(texts, whole, strict=True))
+
+
+def test_few_differing_bits_always_share_a_block():
+    rng = np.random.default_rng(2)
+    bits = bits_of("some text to begin with")
+    for _ in range(50):
+        other = bits.copy()
+        other[rng.choice(similar.BLOCKS * similar.BLOCK_BITS, similar.BLOCKS - 1, replace=False)] ^= 1
+        assert (similar.block_keys(bits) == similar.block_keys(other)).any()
+
+
 def test_stage_drops_pairs_far_apart_in_bits(spark, frame):
     rng = random.Random(1)
     base = [f"w{rng.randrange(5000)}" for _ in range(200)]
