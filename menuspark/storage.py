@@ -7,8 +7,11 @@ executors share; they cut lineage, so a lost executor costs a re-read and not a
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 _own_root: str | None = None
+#: Paths written inside each open ``scratch``, innermost last.
+_open: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where ``spark.checkpoint.dir`` is unset."""
+    """The session's shared folder. Where ``spark.checkpoint.dir`` is unset, a session on one machine gets
+    a temporary folder; on a cluster that would be a folder that executors do not share, so it raises."""
     global _own_root
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="menuspark-")
     return _own_root
@@ -46,14 +54,66 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_root(spark)}/menuspark/{tag}-{uuid.uuid4().hex}"
     fs, jpath = hadoop_path(spark, path)
     fs.deleteOnExit(jpath)
+    if _open:
+        _open[-1].append(path)
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: one evaluation, short lineage."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: one evaluation, short lineage. ``batch_rows``
+    bounds the Arrow batches of Python functions in ``df``, for rows that hold whole texts."""
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    with arrow_batches(spark, batch_rows):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._menuspark_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written, once nothing reads them any more."""
+    for df in tables:
+        path = df.__dict__.get("_menuspark_path")
+        if path:
+            fs, jpath = hadoop_path(df.sparkSession, path)
+            fs.delete(jpath, True)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Hold Arrow batches to ``rows`` rows for what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows is not None:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if rows is not None:
+            spark.conf.set(name, before)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that were written inside, at the end. Keep what outlives it with ``keep``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            fs, jpath = hadoop_path(spark, path)
+            fs.delete(jpath, True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Hand a written table on to the surrounding ``scratch``, if there is one."""
+    path = df.__dict__.get("_menuspark_path")
+    if _open and path in _open[-1]:
+        _open[-1].remove(path)
+        if len(_open) > 1:
+            _open[-2].append(path)
+    return df
 
 
 def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
