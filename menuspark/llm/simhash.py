@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from menuspark.storage import materialize
+from menuspark.storage import materialize, release
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -153,8 +153,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = materialize(small.filter("u <> v").distinct(), "cc")
+        last, edges = edges, materialize(small.filter("u <> v").distinct(), "cc")
         after = edges.select(mark).first()[0]
+        release(last)
         if after == before:
             break
         before = after

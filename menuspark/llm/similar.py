@@ -44,8 +44,8 @@ BLOCK_BITS = 22
 CHECK_WORDS = 4
 CHECK_BITS = 64
 BUCKET_CAP = 512
-#: Rows of text that one Arrow batch holds on its way out.
-ROWS_AT_ONCE = 512
+#: Rows of whole texts or sets that one Arrow batch holds.
+ROWS_AT_ONCE = 256
 #: Bytes of a text that are cut into words at once.
 PIECE = 1 << 20
 
@@ -135,13 +135,11 @@ def _sets(slim: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(key, shingles) of the texts in the rows of ``wanted`` (row, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                own = [shingles(t.as_py(), words) for t in batch.column(1)]
-                if [_key(s) for s in own] != batch.column(0).to_pylist():
-                    raise RuntimeError("row numbers changed between two readings of the documents")
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in own], pa.binary())], names=["key", "shingles"])
+        for batch in batches:
+            own = [shingles(t.as_py(), words) for t in batch.column(1)]
+            if [_key(s) for s in own] != batch.column(0).to_pylist():
+                raise RuntimeError("row numbers changed between two readings of the documents")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in own], pa.binary())], names=["key", "shingles"])
 
     return slim.join(sized(wanted, wanted.count(), 32), "row").select("key", "text").mapInArrow(run, "key long, shingles binary")
 
@@ -161,11 +159,11 @@ def _verified(pairs: DataFrame, heads: DataFrame, slim: DataFrame, words: int, l
 
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = materialize(heads.join(named, "key").select("row", "key"), "similar-wanted")
-    sets = materialize(_sets(slim, wanted, words), "similar-sets")
+    sets = materialize(_sets(slim, wanted, words), "similar-sets", ROWS_AT_ONCE)
     size = sets.agg(F.count("*"), F.coalesce(F.avg(F.length("shingles")), F.lit(0.0))).first()
     sets = sized(sets, size[0], int(size[1]) + 16)
     a, b = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
-    return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "similar-links")
+    return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "similar-links", ROWS_AT_ONCE)
 
 
 def _met(members: DataFrame, bucket_cap: int) -> DataFrame:
@@ -218,7 +216,7 @@ def similar_links(distinct: DataFrame, slim: DataFrame, words: int = SHINGLE_WOR
     labelled = materialize(labelled, "similar-labelled")
     open_ = labelled.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("block")
     rest = _met(labelled.join(open_, "block").join(heads.select("key", "check"), "key"), bucket_cap)
-    return links.unionByName(_verified(materialize(rest, "similar-rest"), heads, slim, words, least))
+    return links.unionByName(_verified(materialize(rest, "similar-rest", ROWS_AT_ONCE), heads, slim, words, least))
 
 
 def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = SHINGLE_WORDS, least: float = LEAST, bucket_cap: int = BUCKET_CAP) -> DataFrame:
@@ -232,7 +230,7 @@ def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     slim = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).cast("binary").alias("text"))
-    rows = materialize(_keyed(slim, words), "similar-rows")
+    rows = materialize(_keyed(slim, words), "similar-rows", ROWS_AT_ONCE)
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))
     winners = materialize(rows.groupBy("key").agg(F.min(first).alias("first")), "similar-keys")
     distinct = materialize(rows.join(winners.select("key", F.col("first.row").alias("row")), ["key", "row"], "left_semi").select("row", "key", "blocks", "check"), "similar-distinct")
