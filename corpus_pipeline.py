@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from menuspark.llm import bpe, exact_dedup, mixing, quality, queries, similar
-from menuspark.storage import materialize, sized, table
+from menuspark.storage import keep, materialize, release, scratch, sized, table
 
 ROW = "__menuspark_row"
+#: Rows of whole texts that one Arrow batch holds.
+ROWS_AT_ONCE = 1024
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -80,10 +82,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. Each stage's output is written and reread; what it wrote on the way,
+    and its input, go before the next one begins."""
     docs = table(spark, sf_dir, "documents")
     for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+        if at == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch(spark):
+            done = keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}", ROWS_AT_ONCE))
+        release(docs)
+        docs = done
