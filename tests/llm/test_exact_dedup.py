@@ -7,6 +7,8 @@ from collections import defaultdict
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from menuspark.llm import exact_dedup
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -37,7 +39,20 @@ def test_case_nulls_empty_and_repeated_rows(frame):
 
 def test_hot_group_goes_through_salts(frame):
     rows = [(i, "hot" if i % 3 else f"t{i % 40}", "s") for i in range(900)]
-    check(exact_dedup.exact_duplicates(frame(rows).repartition(7), hot_least=20, hot_share=0, salts=3).collect(), rows)
+    for each in (7, 20, 10**6):
+        check(exact_dedup.exact_duplicates(frame(rows).repartition(7), salt_rows=each).collect(), rows)
+
+
+def test_colliding_digests_never_merge_texts(frame):
+    rows = [(i, f"{'xy'[i % 2]}{i % 5}" if i % 3 else "Hot", "s") for i in range(300)] + [(None, "x1", "s"), (3, None, "s")]
+    want = brute(rows)
+    for stub in (lambda t: F.unhex(F.sha2(F.substring(t, 1, 1), 256)), lambda t: F.lit(b"same")):
+        for each in (10, 10**6):
+            found = exact_dedup.exact_duplicates(frame(rows).repartition(5), salt_rows=each, digest=stub).collect()
+            texts = {i: (t or "").translate(LOWER) for i, t, _ in rows}
+            assert len(found) == len(rows)
+            assert all((r.keep_id, r.group_size) == want[texts[r.id]] for r in found if r.id not in (None, 3))
+            assert sorted(texts[r.id] for r in found if r.kept and r.id != 3) == sorted(t for t in want if t)
 
 
 def test_empty_table(frame):
