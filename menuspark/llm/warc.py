@@ -1,9 +1,10 @@
-"""WARC archives: one gzip member per record, written and read back through Spark.
+"""WARC archives: one gzip member per record, written as .warc.gz files and read back.
 
-An archive is a row (``archive``, ``data``): a complete .warc.gz stream of bounded size, a warcinfo
-record first. Archives are written with Spark's own commit protocol, so a lost executor's files are
-never half there, and into any store that Spark reaches. Real .warc.gz files are read the same way,
-by ``read_files``.
+Tasks stream records into files of the given folder, one record in memory at a time, and close a file
+after ``ARCHIVE_BYTES``. A file's name is new in every attempt, and it counts only once the manifest,
+a table written with Spark's commit protocol, names it; so what lost executors and repeated attempts
+leave behind is never read. The folder must lie in a store that Arrow's file systems open (local and
+mounted paths, hdfs, s3, gs, abfs).
 
 The reader is sequential. It feeds a stream in small pieces to one decompressor per gzip member,
 frames each record by its Content-Length, and verifies block and payload digests.
@@ -13,24 +14,30 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from menuspark.storage import materialize, sized
+from menuspark.storage import hadoop_path, materialize, scratch_path, sized
 
 #: Payloads of at least this many bytes may be revisits of an equal one.
 REVISIT_LEAST = 0
 #: Uncompressed payload bytes after which a new archive begins.
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES = 256 << 20
 READ_BYTES = 1 << 16
+#: Rows of whole payloads that one Arrow batch holds.
+ROWS_AT_ONCE = 512
+#: Payload bytes of the records that the reader hands on at once.
+BATCH_BYTES = 4 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -53,13 +60,13 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_urn(page_id: int | None) -> str:
-    return f"<urn:menuspark:page:{'' if page_id is None else page_id}>"
+def record_urn(page_id: int | None, row: int = 0) -> str:
+    return f"<urn:menuspark:page:{'' if page_id is None else page_id}:{row}>"
 
 
 def page_of(urn: str | None) -> int | None:
-    number = (urn or "").strip("<>").rpartition(":")[2]
-    return int(number) if number else None
+    found = re.fullmatch(r"<urn:menuspark:page:(-?[0-9]+):[0-9]+>", urn or "")
+    return int(found[1]) if found else None
 
 
 def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -73,13 +80,13 @@ def _one_line(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, revisit: bool, refers_to: int | None) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, row: int = 0, refers_to: str | None = None) -> bytes:
     """A response with its whole payload, or a revisit that names the response and carries none."""
     head = _HTTP % len(payload)
-    block = head if revisit else head + payload
+    block = head if refers_to else head + payload
     headers = [
-        ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", record_urn(page_id)),
+        ("WARC-Type", "revisit" if refers_to else "response"),
+        ("WARC-Record-ID", record_urn(page_id, row)),
         ("WARC-Target-URI", _one_line(url)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", "sha1:" + sha1_base32(payload)),
@@ -87,8 +94,8 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, revisit: b
         ("X-Payload-Length", str(len(payload))),
         ("Content-Type", "application/http;msgtype=response"),
     ]
-    if revisit:
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_urn(refers_to))]
+    if refers_to:
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", refers_to)]
     return member(headers, block)
 
 
@@ -158,77 +165,112 @@ def read(stream: BinaryIO, read_bytes: int = READ_BYTES) -> Iterator[Record]:
         yield record
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_least: int = REVISIT_LEAST) -> DataFrame:
-    """(archive, data) with a record for every row of ``pages``.
+def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a path as Spark names it, and the path there."""
+    return arrow_fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
 
-    Of rows with equal payloads of at least ``revisit_least`` bytes those with the smallest id (null
-    ids last) are responses and the others revisit it; rows that repeat an id and its payload thus
-    share a record type. A null payload is empty.
-    The groups come from a narrow table of digests; a payload moves only if the table of groups that
-    have copies is too large to broadcast.
+
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_least: int = REVISIT_LEAST, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write a record for every row of ``pages`` into .warc.gz files of ``folder``; returns the manifest
+    (path, records, responses, payload_bytes).
+
+    Of rows with equal payloads of at least ``revisit_least`` bytes the one with the smallest id (null
+    ids last; of repeated rows one) is the response and the others revisit it. A null payload is empty.
+    Only the named columns are read. The groups come from a narrow table of digests; a payload moves
+    only if the table of groups that have copies is too large to broadcast.
     """
+    spark = pages.sparkSession
     source = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
+        F.monotonically_increasing_id().alias("row"),
     ).withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    narrow = source.filter(F.octet_length("payload") >= revisit_least).select("page_id", "digest")
-    copied = materialize(narrow.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("refers_to")).filter("n > 1").select("digest", "refers_to"), "warc-copied")
-    again = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    marked = source.join(sized(copied, copied.count(), 64), "digest", "left").select("page_id", "url", "payload", "refers_to", again.alias("revisit"))
+    narrow = source.filter(F.octet_length("payload") >= revisit_least).select("digest", F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row").alias("at"))
+    groups = narrow.groupBy("digest").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1")
+    copied = materialize(groups.select("digest", "n", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row")), "warc-copied")
+    marked = source.join(sized(copied, copied.count(), 80), "digest", "left").select("page_id", "url", "payload", "row", "first_id", "first_row")
+
+    fs, root = hadoop_path(spark, folder)
+    fs.mkdirs(root)
+    folder = fs.makeQualified(root).toString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[bytes] = []
-        size, made, name = 0, 0, ""
+        store, at = opened(folder)
+        attempt, made = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0
+        out, tally = None, {}
         for batch in batches:
-            for page_id, url, payload, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not parts:
-                    name = f"pages-{TaskContext.get().partitionId():06d}-{made:06d}.warc.gz"
-                    parts, made = [info_record(name)], made + 1
-                parts.append(page_record(page_id, url, payload, revisit, refers_to))
-                size += len(payload)
-                if size >= ARCHIVE_BYTES:
-                    yield pa.RecordBatch.from_pydict({"archive": [name], "data": [b"".join(parts)]})
-                    parts, size = [], 0
-        if parts:
-            yield pa.RecordBatch.from_pydict({"archive": [name], "data": [b"".join(parts)]})
-
-    return marked.mapInArrow(run, "archive string, data binary")
-
-
-def read_archives(archives: DataFrame, data_col: str = "data") -> DataFrame:
-    """The response and revisit records of archives: (page_id, url, payload_bytes, payload_digest,
+            for page_id, url, payload, row, first_id, first_row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None:
+                    name, made = f"pages-{attempt}-{made:06d}.warc.gz", made + 1
+                    out, tally = store.open_output_stream(f"{at}/{name}", compression=None), {"path": f"{folder}/{name}", "records": 0, "responses": 0, "payload_bytes": 0}
+                    out.write(info_record(name))
+                again = first_row is not None and first_row != row
+                out.write(page_record(page_id, url, payload, row, record_urn(first_id, first_row) if again else None))
+                tally["records"] += 1
+                tally["responses"] += not again
+                tally["payload_bytes"] += len(payload)
+                if tally["payload_bytes"] >= archive_bytes:
+                    out.close()
+                    out = None
+                    yield pa.RecordBatch.from_pylist([tally])
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pylist([tally])
+
+    manifest = materialize(marked.mapInArrow(run, "path string, records long, responses long, payload_bytes long"), "warc-manifest", ROWS_AT_ONCE)
+    records, responses = manifest.agg(F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("responses"), F.lit(0))).first()
+    revisits = copied.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+    if records - responses != revisits:
+        raise RuntimeError("row numbers changed between two readings of the pages")
+    return manifest
+
+
+def read_archives(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """The response and revisit records of .warc.gz files: (page_id, url, payload_bytes, payload_digest,
     record_type, refers_to, payload). Every record is verified; a damaged one fails the query. A
-    revisit's length and digest are those of the full payload, its own payload is null."""
+    revisit's length and digest are those of the full payload, its own payload is null. A task streams
+    its files one after another and holds a record, and ``BATCH_BYTES`` of payloads, at a time."""
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         schema = pa.schema(list(zip(names, kinds, strict=True)))
         for batch in batches:
-            for at in range(batch.num_rows):
+            for path in batch.column(0).to_pylist():
+                store, at = opened(path)
                 rows, size = [], 0
-                for record in read(io.BytesIO(batch.column(0)[at].as_py() or b"")):
-                    if record.kind not in ("response", "revisit"):
-                        continue
-                    h, again = record.headers, record.kind == "revisit"
-                    length = int(h.get("x-payload-length") or len(record.payload))
-                    rows.append((page_of(h.get("warc-record-id")), h.get("warc-target-uri"), length, h.get("warc-payload-digest", "").removeprefix("sha1:"), record.kind, page_of(h.get("warc-refers-to")) if again else None, None if again else record.payload))
-                    size += len(record.payload)
-                    if size >= 4 << 20:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
-                        rows, size = [], 0
+                with store.open_input_stream(at, compression=None) as stream:
+                    for record in read(stream):
+                        if record.kind not in ("response", "revisit"):
+                            continue
+                        h, again = record.headers, record.kind == "revisit"
+                        length = int(h.get("x-payload-length") or len(record.payload))
+                        rows.append((page_of(h.get("warc-record-id")), h.get("warc-target-uri"), length, h.get("warc-payload-digest", "").removeprefix("sha1:"), record.kind, page_of(h.get("warc-refers-to")) if again else None, None if again else record.payload))
+                        size += len(record.payload)
+                        if size >= BATCH_BYTES or len(rows) >= 4096:
+                            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
+                            rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
 
-    return archives.select(F.col(data_col).cast("binary").alias("data")).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    files = max(1, paths.count())
+    return paths.select(F.col(path_col).alias("path")).repartition(files).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The records of .warc.gz files in any store that Spark reads."""
-    return read_archives(spark.read.format("binaryFile").load(path).select(F.col("content").alias("data")))
+    """The records of all .warc.gz files below ``path``; only their names go through Spark's reader."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(path)
+    return read_archives(listed.select("path"))
+
+
+def unmatched_revisits(records: DataFrame) -> DataFrame:
+    """The revisits among read records whose response is missing or has another payload digest."""
+    responses = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return records.filter("record_type = 'revisit' AND refers_to IS NOT NULL").join(responses, ["refers_to", "payload_digest"], "left_anti")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_least: int = REVISIT_LEAST) -> DataFrame:
     """Write the archives of ``pages`` to the shared folder and read them back."""
-    return read_archives(materialize(write_archives(pages, id_col, url_col, payload_col, revisit_least), "warc-archives"))
+    folder = scratch_path(pages.sparkSession, "warc-archives")
+    return read_archives(write_archives(pages, folder, id_col, url_col, payload_col, revisit_least))
