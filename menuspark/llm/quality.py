@@ -1,7 +1,8 @@
 """Quality scores from compression with dictionaries of good and of bad labelled text.
 
 Training, on a bounded sample of the labelled rows (``SAMPLE_ROWS`` a class in a seeded hash order,
-and of those as many as fit ``SAMPLE_BYTES``): three of four sample rows build one zstandard
+and of those, texts of up to ``SAMPLE_TEXT_BYTES`` first, as many as fit ``SAMPLE_BYTES``, but one at
+least): three of four sample rows build one zstandard
 dictionary per class, the fourth calibrates. Lines that both classes hold say nothing about either
 and build no dictionary. A text is compressed in blocks of ``BLOCK`` bytes with both dictionaries;
 
@@ -26,6 +27,8 @@ from menuspark.storage import materialize
 
 SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 24 << 20
+#: Longer texts build a model only where a class has no others.
+SAMPLE_TEXT_BYTES = 1 << 20
 DICTIONARY_BYTES = 64 << 10
 BLOCK = 256
 LEVEL = 3
@@ -126,7 +129,9 @@ def fit(good: list[bytes], bad: list[bytes], good_share: float) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on labelled rows that are not held out. Null labels, labels other than 0 and 1 and ids with
-    contradicting labels are not used; nor are null or empty texts."""
+    contradicting labels are not used; nor are null or empty texts. Rows that repeat a labelled id all
+    belong to the sample; equal texts count once. Without a text of either class, or in an empty table,
+    the score is the share of good labels."""
     usable = (
         labels.filter(F.col(label_col).isin(0, 1) & F.col(label_id_col).isNotNull() & (fold(label_id_col) != 0))
         .groupBy(F.col(label_id_col).cast("long").alias("label_id"))
@@ -142,8 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = picks[0].unionByName(picks[1])
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("binary").alias("text")).filter(F.octet_length("text") > 0)
     sample = materialize(texts.join(F.broadcast(picked), "label_id").select("label_id", "label", turn.alias("turn"), F.xxhash64("text").alias("tie"), "text"), "quality-sample")
-    order = Window.partitionBy("label").orderBy("turn", "label_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    bounded = sample.withColumn("running", F.sum(F.octet_length("text").cast("long")).over(order)).filter(F.col("running") <= sample_bytes)
+    long = F.octet_length("text") > min(SAMPLE_TEXT_BYTES, sample_bytes)
+    order = Window.partitionBy("label").orderBy(long, F.when(long, F.octet_length("text")), "turn", "label_id", "tie")
+    sums = sample.withColumn("place", F.row_number().over(order)).withColumn("running", F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bounded = sums.filter((F.col("running") <= sample_bytes) | (F.col("place") == 1))
     rows = [(r["label"], bytes(r["text"])) for r in sorted(bounded.collect(), key=lambda r: (r["turn"], r["label_id"], r["tie"]))]
     return fit([t for k, t in rows if k == 1], [t for k, t in rows if k == 0], counts.get(1, 0) / total)
 

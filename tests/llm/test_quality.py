@@ -39,3 +39,17 @@ def test_training_ignores_held_out_and_unusable_labels(spark, frame):
     right = [(r.score >= 0.3) == (r.doc_id < 120) for r in scored if r.doc_id < 240]
     assert np.mean(right) > 0.95
     assert quality.score(frame([]), quality.train(frame([]), labels.limit(0))).count() == 0
+
+
+def test_a_text_beyond_the_byte_bound_does_not_empty_its_class(spark):
+    good, bad = texts(1, 60, 21), texts(0, 60, 22)
+    rows = [(i, t, i < 60) for i, t in enumerate([*good, *bad])]
+    longest = max(len(t.encode()) for _, t, _ in rows)
+    huge = [(200 + i, (good[i] + " ") * 400, True) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows + huge], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(q)) for i, _, q in rows + huge], "doc_id long, quality int")
+    model = quality.train(docs, labels, sample_bytes=30 * longest)
+    assert model.slope > 0 and model.good and model.bad
+    only = docs.filter("doc_id >= 60")  # all good texts are too long: the shortest of them stands for the class
+    model = quality.train(only, labels.filter("doc_id >= 60"), sample_bytes=longest)
+    assert model.good and model.bad
