@@ -10,11 +10,14 @@ module runs the same method with longer fingerprints:
    differ in fewer than ``BLOCKS`` bits do; of other pairs, one of bit agreement p is missed with
    probability ``(1 - p ** BLOCK_BITS) ** BLOCKS``: 0.07 at a similarity of exactly 0.8, 0.01 at
    0.85 and 10 ** -5 at 0.9.
-3. Every fingerprint is compared with one member of one of its buckets, by Hamming distance over
-   ``CHECK_WORDS`` words and then by the exact similarity of the two sets; components follow.
+3. In each bucket one random member is the centre. Every fingerprint is compared with one of its
+   centres, by Hamming distance over ``CHECK_WORDS`` words and then by the exact similarity of the two
+   sets, and components follow; those that are not in the component of another centre of theirs are
+   compared with that one too. This is linear and joins all but a few members of a large family.
 4. Buckets that still hold several components are compared in full: pairs of different components
-   within the Hamming distance are checked exactly. A bucket of more than ``bucket_cap`` members is
-   cut into parts, and every part meets every other, so that a task holds at most two parts.
+   within the Hamming distance are checked exactly. The members of a bucket's largest component are
+   never compared with one another; they are cut into parts of at most ``bucket_cap``, and the other
+   members, which are few, meet every part.
 5. Components by the star rounds of ``simhash.connected_components`` over all links.
 
 A bucket of chance holds rows / 2 ** BLOCK_BITS fingerprints, which is 3 at ten million texts; for
@@ -24,7 +27,7 @@ far more texts take longer and more blocks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,7 @@ BLOCK_BITS = 22
 #: similarity of 0.8 the distance is 39 on average, with a deviation of 5.7.
 CHECK_WORDS = 4
 CHECK_BITS = 64
-BUCKET_CAP = 512
+BUCKET_CAP = 4096
 #: Rows of whole texts or sets that one Arrow batch holds.
 ROWS_AT_ONCE = 256
 #: Bytes of a text that are cut into words at once.
@@ -161,32 +164,45 @@ def _verified(pairs: DataFrame, heads: DataFrame, slim: DataFrame, words: int, l
     wanted = materialize(heads.join(named, "key").select("row", "key"), "similar-wanted")
     sets = materialize(_sets(slim, wanted, words), "similar-sets", ROWS_AT_ONCE)
     size = sets.agg(F.count("*"), F.coalesce(F.avg(F.length("shingles")), F.lit(0.0))).first()
-    sets = sized(sets, size[0], int(size[1]) + 16)
+    sets = sized(sets, size[0], 4 * int(size[1]) + 64)  # a hash table of long values takes several times their size
     a, b = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "similar-links", ROWS_AT_ONCE)
 
 
 def _met(members: DataFrame, bucket_cap: int) -> DataFrame:
-    """(a, b): pairs within a bucket of ``members`` (block, key, n, root, check) that lie within the Hamming
+    """(a, b): pairs within a bucket of ``members`` (block, key, root, check) that lie within the Hamming
     distance and belong to different components."""
-    parts = F.when(F.col("n") > bucket_cap, F.ceil(F.col("n") * 2 / bucket_cap)).otherwise(1).cast("int")
-    part = F.pmod(F.xxhash64("key"), parts).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j")))
-    filed = members.select("block", F.explode(meets).alias("at"), F.struct("key", "root", *[F.col("check")[i].alias(f"w{i}") for i in range(CHECK_WORDS)]).alias("m"))
-    lists = filed.groupBy("block", "at").agg(F.collect_list("m").alias("ms")).filter(F.size("ms") > 1).select("ms")
+    counts = members.groupBy("block", "root").agg(F.count("*").alias("n")).groupBy("block").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    # parts of the members of the largest component, and of the others
+    parts = counts.select("block", F.col("top.root").alias("most"), F.ceil(F.col("top.n") / bucket_cap).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("top.n")) / bucket_cap).cast("int").alias("minors")).filter("minors > 0")
+    placed = members.join(materialize(parts, "similar-parts"), "block").withColumn("minor", F.col("root") != F.col("most"))
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
+
+    def every(count: str, at: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(count) - 1), at)
+
+    across = every("majors", lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("own").alias("j")))
+    among = every("minors", lambda j: F.struct(F.lit(1).alias("kind"), F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+    majors = every("minors", lambda j: F.struct(F.lit(0).alias("kind"), F.col("own").alias("i"), j.alias("j")))
+    member = F.struct("key", "root", "minor", *[F.col("check")[i].alias(f"w{i}") for i in range(CHECK_WORDS)]).alias("m")
+    filed = placed.withColumn("own", own).select("block", F.explode(F.when(F.col("minor"), F.concat(across, among)).otherwise(majors)).alias("at"), member)
+    lists = filed.groupBy("block", "at").agg(F.collect_list("m").alias("ms")).filter(F.size("ms") > 1).select(F.col("at.kind").alias("kind"), "ms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.zeros((0, 2), np.int64)]
-            for ms in batch.column(0):
+            for kind, ms in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = ms.values
                 keys, roots = own.field("key").to_numpy(), own.field("root").to_numpy()
                 check = np.stack([own.field(f"w{i}").to_numpy() for i in range(CHECK_WORDS)], axis=1).view(np.uint64)
-                for i in range(len(keys) - 1):
-                    near = (np.bitwise_count(check[i + 1 :] ^ check[i]).sum(axis=1) <= CHECK_BITS) & (roots[i + 1 :] != roots[i])
-                    mates = keys[i + 1 :][near]
-                    if len(mates):
-                        out.append(np.stack([np.maximum(mates, keys[i]), np.minimum(mates, keys[i])], axis=1))
+                minor = own.field("minor").to_numpy(zero_copy_only=False)
+                for i in np.flatnonzero(minor):
+                    others = ~minor if kind == 0 else np.arange(len(keys)) > i
+                    near = others & (roots != roots[i])
+                    at = np.flatnonzero(near)
+                    at = at[np.bitwise_count(check[at] ^ check[i]).sum(axis=1) <= CHECK_BITS]
+                    if len(at):
+                        out.append(np.stack([np.maximum(keys[at], keys[i]), np.minimum(keys[at], keys[i])], axis=1))
             both = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
@@ -200,23 +216,28 @@ def similar_links(distinct: DataFrame, slim: DataFrame, words: int = SHINGLE_WOR
     heads = distinct.select("row", "key", "check")
     # the keys are hashes, so the least of key XOR a hash of the block names a random member
     drawn = F.min(F.col("key").bitwiseXOR(F.xxhash64("block")))
-    buckets = filed.groupBy("block").agg(F.count("*").alias("n"), drawn.alias("drawn")).filter("n > 1").select("block", "n", F.col("drawn").bitwiseXOR(F.xxhash64("block")).alias("centre"))
+    buckets = filed.groupBy("block").agg(F.count("*").alias("n"), drawn.alias("drawn")).filter("n > 1").select("block", F.col("drawn").bitwiseXOR(F.xxhash64("block")).alias("centre"))
     members = materialize(filed.join(materialize(buckets, "similar-buckets"), "block"), "similar-members")
 
     def check_of(name: str) -> DataFrame:
         return heads.select(F.col("key").alias(name), F.col("check").alias(f"check_{name}"))
 
     met = members.filter("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
-    near = met.join(check_of("a"), "a").join(check_of("b"), "b").filter(_distance("check_a", "check_b") <= CHECK_BITS)
+    near = materialize(met.join(check_of("a"), "a").join(check_of("b"), "b").filter(_distance("check_a", "check_b") <= CHECK_BITS).select("a", "b"), "similar-near")
     first = near.groupBy("a").agg(F.min("b").alias("b"))  # one centre each, the same for most of a family
     links = _verified(materialize(first, "similar-first"), heads, slim, words, least)
-
-    roots = connected_components(links).withColumnRenamed("node", "key")
-    labelled = members.join(roots, "key", "left").select("block", "key", "n", F.coalesce("root", "key").alias("root"))
-    labelled = materialize(labelled, "similar-labelled")
+    roots = materialize(connected_components(links), "similar-roots")
+    apart = near.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
+    apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    more = _verified(materialize(apart.join(first, ["a", "b"], "left_anti"), "similar-apart"), heads, slim, words, least)
+
+    links = links.unionByName(more)
+    roots = connected_components(links).toDF("key", "root")
+    labelled = materialize(members.join(roots, "key", "left").select("block", "key", F.coalesce("root", "key").alias("root")), "similar-labelled")
     open_ = labelled.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("block")
-    rest = _met(labelled.join(open_, "block").join(heads.select("key", "check"), "key"), bucket_cap)
-    return links.unionByName(_verified(materialize(rest, "similar-rest", ROWS_AT_ONCE), heads, slim, words, least))
+    held = materialize(labelled.join(open_, "block").join(heads.select("key", "check"), "key"), "similar-open")
+    rest = materialize(_met(held, bucket_cap), "similar-rest", ROWS_AT_ONCE)
+    return links.unionByName(_verified(rest, heads, slim, words, least))
 
 
 def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = SHINGLE_WORDS, least: float = LEAST, bucket_cap: int = BUCKET_CAP) -> DataFrame:
