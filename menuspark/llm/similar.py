@@ -10,10 +10,10 @@ module runs the same method with longer fingerprints:
    differ in fewer than ``BLOCKS`` bits do; of other pairs, one of bit agreement p is missed with
    probability ``(1 - p ** BLOCK_BITS) ** BLOCKS``: 0.07 at a similarity of exactly 0.8, 0.01 at
    0.85 and 10 ** -5 at 0.9.
-3. In each bucket one random member is the centre. Every fingerprint is compared with one of its
-   centres, by Hamming distance over ``CHECK_WORDS`` words and then by the exact similarity of the two
-   sets, and components follow; those that are not in the component of another centre of theirs are
-   compared with that one too. This is linear and joins all but a few members of a large family.
+3. In each bucket one random member is the centre, and every member is compared with it by Hamming
+   distance. Of the pairs that are near enough, the nearest of each fingerprint, then the nearest of
+   each two components, are checked by the exact similarity of their sets. This is linear, and joins
+   all but a few members of a large family.
 4. Buckets that still hold several components are compared in full: pairs of different components
    within the Hamming distance are checked exactly. The members of a bucket's largest component are
    never compared with one another; they are cut into parts of at most ``bucket_cap``, and the other
@@ -42,10 +42,13 @@ SHINGLE_WORDS = 5
 LEAST = 0.8
 BLOCKS = 96
 BLOCK_BITS = 22
-#: Pairs farther apart than this over the first CHECK_WORDS words are not compared exactly. At a
-#: similarity of 0.8 the distance is 39 on average, with a deviation of 5.7.
-CHECK_WORDS = 4
-CHECK_BITS = 64
+#: Pairs that differ in more bits are not compared exactly. At a similarity of 0.8 the distance is 320
+#: on average, with a deviation of 16.5 at most.
+MOST_BITS = 361
+#: Before that, pairs that differ in more than ROUGH_BITS of the first ROUGH_WORDS words are left out; at a
+#: similarity of 0.8 that distance is 39 on average, with a deviation of 5.7.
+ROUGH_WORDS = 4
+ROUGH_BITS = 64
 BUCKET_CAP = 4096
 #: Rows of whole texts or sets that one Arrow batch holds.
 ROWS_AT_ONCE = 256
@@ -119,19 +122,21 @@ def _listed(flat: np.ndarray) -> pa.ListArray:
 
 
 def _keyed(slim: DataFrame, words: int) -> DataFrame:
-    """(id, row, key, blocks, check) for every row of ``slim`` (id, row, text)."""
+    """(id, row, key, blocks, rough, bits) for every row of ``slim`` (id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            keys, found, check = np.zeros(n, np.int64), np.zeros((n, BLOCKS), np.int32), np.zeros((n, CHECK_WORDS), np.int64)
+            n, whole = batch.num_rows, []
+            keys, found, rough = np.zeros(n, np.int64), np.zeros((n, BLOCKS), np.int32), np.zeros((n, ROUGH_WORDS), np.int64)
             for i, t in enumerate(batch.column(2)):
                 own = shingles(t.as_py(), words)
                 bits = fingerprint(own)
-                keys[i], found[i], check[i] = _key(own), block_keys(bits), np.packbits(bits[: 64 * CHECK_WORDS]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), _listed(found), _listed(check)], names=["id", "row", "key", "blocks", "check"])
+                packed = np.packbits(bits)
+                keys[i], found[i], rough[i] = _key(own), block_keys(bits), packed[: 8 * ROUGH_WORDS].view(np.int64)
+                whole.append(packed.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), _listed(found), _listed(rough), pa.array(whole, pa.binary())], names=["id", "row", "key", "blocks", "rough", "bits"])
 
-    return slim.mapInArrow(run, "id long, row long, key long, blocks array<int>, check array<long>")
+    return slim.mapInArrow(run, "id long, row long, key long, blocks array<int>, rough array<long>, bits binary")
 
 
 def _sets(slim: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -149,7 +154,7 @@ def _sets(slim: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 def _distance(a: str, b: str) -> Column:
     """Differing bits of two lists of words."""
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, CHECK_WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, ROUGH_WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
 def _verified(pairs: DataFrame, heads: DataFrame, slim: DataFrame, words: int, least: float) -> DataFrame:
@@ -169,8 +174,31 @@ def _verified(pairs: DataFrame, heads: DataFrame, slim: DataFrame, words: int, l
     return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "similar-links", ROWS_AT_ONCE)
 
 
+def _fingerprints(column: pa.Array) -> np.ndarray:
+    """Packed fingerprints as rows of words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), _WORDS)
+
+
+def _near(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, b, bits): the pairs (a, b) within the Hamming distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.bitwise_count(_fingerprints(batch.column(2)) ^ _fingerprints(batch.column(3))).sum(axis=1).astype(np.int32)
+            whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits)], names=["a", "b", "bits"])
+            yield whole.filter(pa.array(bits <= MOST_BITS))
+
+    def with_both(df: DataFrame, column: str) -> DataFrame:
+        for side in "ab":
+            df = df.join(heads.select(F.col("key").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+        return df
+
+    rough = with_both(pairs, "rough").filter(_distance("rough_a", "rough_b") <= ROUGH_BITS).select("a", "b")
+    return with_both(rough, "bits").select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, bits int")
+
+
 def _met(members: DataFrame, bucket_cap: int) -> DataFrame:
-    """(a, b): pairs within a bucket of ``members`` (block, key, root, check) that lie within the Hamming
+    """(a, b): pairs within a bucket of ``members`` (block, key, root, bits) that lie within the Hamming
     distance and belong to different components."""
     counts = members.groupBy("block", "root").agg(F.count("*").alias("n")).groupBy("block").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
     # parts of the members of the largest component, and of the others
@@ -184,8 +212,7 @@ def _met(members: DataFrame, bucket_cap: int) -> DataFrame:
     across = every("majors", lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("own").alias("j")))
     among = every("minors", lambda j: F.struct(F.lit(1).alias("kind"), F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
     majors = every("minors", lambda j: F.struct(F.lit(0).alias("kind"), F.col("own").alias("i"), j.alias("j")))
-    member = F.struct("key", "root", "minor", *[F.col("check")[i].alias(f"w{i}") for i in range(CHECK_WORDS)]).alias("m")
-    filed = placed.withColumn("own", own).select("block", F.explode(F.when(F.col("minor"), F.concat(across, among)).otherwise(majors)).alias("at"), member)
+    filed = placed.withColumn("own", own).select("block", F.explode(F.when(F.col("minor"), F.concat(across, among)).otherwise(majors)).alias("at"), F.struct("key", "root", "minor", "bits").alias("m"))
     lists = filed.groupBy("block", "at").agg(F.collect_list("m").alias("ms")).filter(F.size("ms") > 1).select(F.col("at.kind").alias("kind"), "ms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +220,12 @@ def _met(members: DataFrame, bucket_cap: int) -> DataFrame:
             out = [np.zeros((0, 2), np.int64)]
             for kind, ms in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = ms.values
-                keys, roots = own.field("key").to_numpy(), own.field("root").to_numpy()
-                check = np.stack([own.field(f"w{i}").to_numpy() for i in range(CHECK_WORDS)], axis=1).view(np.uint64)
+                keys, roots, bits = own.field("key").to_numpy(), own.field("root").to_numpy(), _fingerprints(own.field("bits"))
                 minor = own.field("minor").to_numpy(zero_copy_only=False)
                 for i in np.flatnonzero(minor):
                     others = ~minor if kind == 0 else np.arange(len(keys)) > i
-                    near = others & (roots != roots[i])
-                    at = np.flatnonzero(near)
-                    at = at[np.bitwise_count(check[at] ^ check[i]).sum(axis=1) <= CHECK_BITS]
+                    at = np.flatnonzero(others & (roots != roots[i]))
+                    at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= MOST_BITS]
                     if len(at):
                         out.append(np.stack([np.maximum(keys[at], keys[i]), np.minimum(keys[at], keys[i])], axis=1))
             both = np.concatenate(out)
@@ -210,34 +235,36 @@ def _met(members: DataFrame, bucket_cap: int) -> DataFrame:
 
 
 def similar_links(distinct: DataFrame, slim: DataFrame, words: int = SHINGLE_WORDS, least: float = LEAST, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """(a, b): links between the keys of ``distinct`` (row, key, blocks, check) whose components are those of
-    all similar pairs that share a block."""
+    """(a, b): links between the keys of ``distinct`` (row, key, blocks, rough, bits) whose components are
+    those of all similar pairs that share a block."""
     filed = distinct.filter(F.col("key") != _key(np.zeros(0, np.uint64))).select("key", F.explode("blocks").alias("block"))
-    heads = distinct.select("row", "key", "check")
+    heads = distinct.select("row", "key", "rough", "bits")
     # the keys are hashes, so the least of key XOR a hash of the block names a random member
     drawn = F.min(F.col("key").bitwiseXOR(F.xxhash64("block")))
-    buckets = filed.groupBy("block").agg(F.count("*").alias("n"), drawn.alias("drawn")).filter("n > 1").select("block", F.col("drawn").bitwiseXOR(F.xxhash64("block")).alias("centre"))
+    buckets = filed.groupBy("block").agg(F.count("*").alias("n"), drawn.alias("drawn")).filter("n > 1").select("block", "n", F.col("drawn").bitwiseXOR(F.xxhash64("block")).alias("centre"))
     members = materialize(filed.join(materialize(buckets, "similar-buckets"), "block"), "similar-members")
+    met = members.filter("key <> centre").select(F.greatest("key", "centre").alias("a"), F.least("key", "centre").alias("b")).distinct()
+    near = materialize(_near(met, heads), "similar-near", 16 * ROWS_AT_ONCE)
+
+    def apart(links: DataFrame) -> DataFrame:
+        """The near pairs between different components."""
+        roots = materialize(connected_components(links), "similar-roots")
+        both = near.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
+        both = both.withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b"))
+        return both.filter("root_a <> root_b")
+
+    ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.struct("bits", "a", "b").alias("p")), F.struct(F.col("b").alias("key"), F.struct("bits", "a", "b").alias("p")))).alias("e"))
+    nearest = ends.groupBy("e.key").agg(F.min("e.p").alias("p")).select("p.a", "p.b").distinct()
+    links = _verified(materialize(nearest, "similar-nearest"), heads, slim, words, least)
+    between = apart(links).groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b")
+    links = links.unionByName(_verified(materialize(between, "similar-between"), heads, slim, words, least))
 
-    def check_of(name: str) -> DataFrame:
-        return heads.select(F.col("key").alias(name), F.col("check").alias(f"check_{name}"))
-
-    met = members.filter("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
-    near = materialize(met.join(check_of("a"), "a").join(check_of("b"), "b").filter(_distance("check_a", "check_b") <= CHECK_BITS).select("a", "b"), "similar-near")
-    first = near.groupBy("a").agg(F.min("b").alias("b"))  # one centre each, the same for most of a family
-    links = _verified(materialize(first, "similar-first"), heads, slim, words, least)
-    roots = materialize(connected_components(links), "similar-roots")
-    apart = near.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
-    apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    more = _verified(materialize(apart.join(first, ["a", "b"], "left_anti"), "similar-apart"), heads, slim, words, least)
-
-    links = links.unionByName(more)
     roots = connected_components(links).toDF("key", "root")
-    labelled = materialize(members.join(roots, "key", "left").select("block", "key", F.coalesce("root", "key").alias("root")), "similar-labelled")
+    labelled = materialize(members.filter("n > 2").join(roots, "key", "left").select("block", "key", F.coalesce("root", "key").alias("root")), "similar-labelled")
     open_ = labelled.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("block")
-    held = materialize(labelled.join(open_, "block").join(heads.select("key", "check"), "key"), "similar-open")
-    rest = materialize(_met(held, bucket_cap), "similar-rest", ROWS_AT_ONCE)
-    return links.unionByName(_verified(rest, heads, slim, words, least))
+    held = materialize(labelled.join(open_, "block").join(heads.select("key", "bits"), "key"), "similar-open")
+    rest = _met(held, bucket_cap).unionByName(apart(links).select("a", "b")).distinct()  # buckets of two hold their centre's pair alone
+    return links.unionByName(_verified(materialize(rest, "similar-rest", ROWS_AT_ONCE), heads, slim, words, least))
 
 
 def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = SHINGLE_WORDS, least: float = LEAST, bucket_cap: int = BUCKET_CAP) -> DataFrame:
@@ -254,7 +281,7 @@ def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = materialize(_keyed(slim, words), "similar-rows", ROWS_AT_ONCE)
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))
     winners = materialize(rows.groupBy("key").agg(F.min(first).alias("first")), "similar-keys")
-    distinct = materialize(rows.join(winners.select("key", F.col("first.row").alias("row")), ["key", "row"], "left_semi").select("row", "key", "blocks", "check"), "similar-distinct")
+    distinct = materialize(rows.join(winners.select("key", F.col("first.row").alias("row")), ["key", "row"], "left_semi").select("row", "key", "blocks", "rough", "bits"), "similar-distinct")
     roots = connected_components(similar_links(distinct, slim, words, least, bucket_cap))
     rooted = winners.join(roots, winners["key"] == roots["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("winner"))
