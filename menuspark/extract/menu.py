@@ -276,45 +276,93 @@ def split_name(text: str) -> tuple[str, str | None]:
     return (clean[:at].strip(), clean[at + 1 :].strip() or None) if 3 <= at <= 120 else (clean, None)
 
 
-def _descriptor(text: str) -> bool:
-    return bool(words.DESCRIPTOR.match(text)) or len(text.split()) >= 4 and bool(words.SERVED.search(text))
+@dataclass(frozen=True)
+class Traits:
+    """What a line looks like, for telling names from what is said about them."""
+
+    count: int  # words
+    lead: bool  # begins as descriptions do
+    serving: bool
+    pauses: bool
+    closes: bool
+    joins: bool
+    coded: bool  # ends in bracketed allergen codes
+    starred: bool
+    shouts: bool  # all letters are capitals, three at least
+
+    @classmethod
+    def of(cls, text: str) -> Traits:
+        bare = re.sub(r"^\d{1,3}\s*[.)]\s*", "", text).strip()
+        return cls(
+            len(bare.split()),
+            bool(words.DESCRIPTOR.match(bare)),
+            bool(words.SERVED.search(bare)),
+            bool(re.search("[,;]", bare)),
+            bool(re.search(r"[.!?](?:\s|$)", bare)),
+            bool(words.JOINING.search(bare)),
+            bool(words.ALLERGEN_BRACKET.search(text)),
+            text.startswith("*"),
+            sum(map(str.isalpha, text)) >= 3 and text == text.upper(),
+        )
+
+    def has(self, shown: dict[str, int]) -> bool:
+        """Whether it shows any of these traits in a line of so many words at least."""
+        return any(getattr(self, trait) and self.count >= least for trait, least in shown.items())
+
+
+#: Traits that mark the beginning of a description, and those that mark any line of one.
+_LEADS = {"lead": 1, "serving": 4}
+_DESCRIBES = _LEADS | {"pauses": 1, "closes": 1, "joins": 7}
 
 
 def _descriptive(text: str) -> bool:
     """A line that reads like a description rather than a name."""
-    if not text or words.ALLERGEN_BRACKET.search(text):
-        return False
-    text = re.sub(r"^\d{1,3}\s*[.)]\s*", "", text).strip()
-    long_ = len(text.split()) >= 7
-    return _descriptor(text) or bool(re.search(r"[,;]|[.!?](?:\s|$)", text)) or long_ and bool(re.search(r"\b(?:eller|or|med|with)\b", text, re.I))
+    own = Traits.of(text)
+    return not own.coded and own.has(_DESCRIBES)
 
 
 def _capitals(text: str) -> bool:
-    letters = re.sub(r"[\W\d_]+", "", text)
-    return not text.startswith("*") and 3 <= len(text) <= 140 and len(letters) >= 3 and text == text.upper() and not (not_a_dish(text) or _descriptor(text) or words.BOUNDARY.match(text))
+    own = Traits.of(text)
+    return own.shouts and not own.starred and 3 <= len(text) <= 140 and not (own.has(_LEADS) or not_a_dish(text) or words.BOUNDARY.match(text))
+
+
+#: Lines below a shared price that it can reach.
+_SHARED_REACH = 30
 
 
 def shared_sections(lines: list[str]) -> dict[int, list[Item]]:
-    """Sections priced once for at least two capitalised names within 30 lines below, by header line."""
+    """Sections priced once for at least two capitalised names within 30 lines below, by header line.
+
+    One pass from the last line up: a stack holds the capitalised names seen since the nearest line that
+    ends a section; a priced header takes those in its reach, and then ends the section above."""
     found: dict[int, list[Item]] = {}
-    for at, line in enumerate(lines):
+    names: list[int] = []  # nearest last
+    stop = len(lines)
+    for at in range(len(lines) - 1, -1, -1):
+        line = lines[at]
         priced = None if prices.STANDALONE.fullmatch(line) else prices.read_inline(line)
-        if not priced or not_a_dish(priced[0]):
-            continue
-        (section, extra), minor = split_name(priced[0]), priced[1]
-        if extra or len(section) > 60 or len(section.split()) > 5 or re.search("[,;:]", section):
-            continue
-        end = min(len(lines), at + 31)
-        stop = next((i for i in range(at + 1, end) if lines[i].startswith("*") or words.BOUNDARY.match(lines[i]) or prices.INLINE.fullmatch(lines[i]) or prices.STANDALONE.fullmatch(lines[i])), end)
-        heads = [i for i in range(at + 1, stop) if _capitals(lines[i])]
-        if len(heads) < 2:
-            continue
-        found[at] = []
-        for head, after in zip(heads, [*heads[1:], stop], strict=True):
-            rest = " ".join(x for x in lines[head + 1 : after] if not x.startswith("*") and not words.ALLERGEN_LINE.match(x) and not words.BOUNDARY.match(x)).strip() or None
-            excerpt = " — ".join(x for x in (f"{section} {minor / 100:g}", lines[head], rest) if x)[:1000]
-            found[at].append(Item(lines[head], minor, head, 0.76, rest, section, excerpt=excerpt))
-    return found
+        if priced and not not_a_dish(priced[0]):
+            end = min(stop, at + 1 + _SHARED_REACH)
+            heads = [i for i in reversed(names) if i < end]
+            (section, extra), minor = split_name(priced[0]), priced[1]
+            if len(heads) >= 2 and not extra and _section_name(section):
+                found[at] = [_shared_item(lines, section, minor, head, after) for head, after in zip(heads, [*heads[1:], end], strict=True)]
+        if line.startswith("*") or words.BOUNDARY.match(line) or prices.INLINE.fullmatch(line) or prices.STANDALONE.fullmatch(line):
+            names, stop = [], at
+        elif _capitals(line):
+            names.append(at)
+    return dict(sorted(found.items()))
+
+
+def _section_name(text: str) -> bool:
+    return len(text) <= 60 and len(text.split()) <= 5 and not re.search("[,;:]", text)
+
+
+def _shared_item(lines: list[str], section: str, minor: int, head: int, after: int) -> Item:
+    told = [x for x in lines[head + 1 : after] if not (x.startswith("*") or words.ALLERGEN_LINE.match(x) or words.BOUNDARY.match(x))]
+    rest = " ".join(told).strip() or None
+    excerpt = " — ".join(x for x in (f"{section} {minor / 100:g}", lines[head], rest) if x)[:1000]
+    return Item(lines[head], minor, head, 0.76, rest, section, excerpt=excerpt)
 
 
 def plain_items(page: Page) -> list[Item]:
