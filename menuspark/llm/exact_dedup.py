@@ -66,14 +66,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     winners = complete.unionByName(combined.drop("content")).withColumn("text_of", F.lit(0))
     collided = materialize(winners.groupBy("digest").count().filter("count > 1").select("digest"), "exact-collided")
 
-    if collided.isEmpty():
-        joined, group = rows.join(winners, "digest"), ["digest"]
-    else:
+    found, group = rows, ["digest"]
+    if not collided.isEmpty():
         own = materialize(source.join(collided, "digest", "left_semi"), "exact-collided-rows")
         texts = own.groupBy("digest", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
         texts = texts.withColumn("text_of", F.row_number().over(Window.partitionBy("digest").orderBy("norm")))
-        plain = rows.join(winners.join(collided, "digest", "left_anti"), "digest")
-        joined = plain.unionByName(own.join(texts, ["digest", "norm"]).drop("norm"))
+        named = own.join(texts, ["digest", "norm"]).select("id", "row", "digest", "text_of")
+        found = rows.join(collided, "digest", "left_anti").withColumn("text_of", F.lit(0)).unionByName(named)
+        winners = winners.join(collided, "digest", "left_anti").unionByName(texts.select(*winners.columns))
         group = ["digest", "text_of"]
-    turn = F.row_number().over(Window.partitionBy(*group, "id").orderBy("row"))
-    return joined.select("id", "row", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (turn == 1)).alias("kept"), "digest")
+    # of rows repeated with the id that stays, the first
+    first = found.join(winners, group).filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy(*group).agg(F.min("row").alias("keep_row"))
+    whole = materialize(winners.join(first, group).select(*group, "keep_id", "group_size", "keep_row"), "exact-groups")
+    return found.join(whole, group).select("id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest")
