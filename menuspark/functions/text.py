@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -184,12 +186,68 @@ def price_label(kind: Column, minor: Column, top: Column) -> Column:
     return F.when(minor.isNotNull(), label.otherwise(F.concat(F.lit("kr "), crowns(minor))))
 
 
+# The blocks of addresses that are not public unicast.
+RESERVED_V4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.31.196.0/24", "192.52.193.0/24", "192.88.99.0/24", "192.168.0.0/16",
+    "192.175.48.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+)
+RESERVED_V6 = (
+    "::/128", "::1/128", "::ffff:0:0/96", "64:ff9b::/96", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "2620:4f:8000::/48", "3fff::/20", "5f00::/16", "fc00::/7", "fe80::/10", "fec0::/10", "ff00::/8",
+)
+# End of fixed values.
+
+
+def public_host(host: str) -> bool:
+    """Whether a host of a URL may be fetched as far as its spelling tells: a name of several labels that
+    is not local, or a public unicast address in any notation that URLs allow for it."""
+    host = host.lower().rstrip(".")
+    if host.startswith("["):
+        try:
+            address = ipaddress.IPv6Address(host.strip("[]"))
+        except ValueError:
+            return False
+        return address in ipaddress.ip_network("2000::/3") and not any(address in ipaddress.ip_network(n) for n in RESERVED_V6)
+    labels = host.split(".")
+    if re.fullmatch(r"0x[0-9a-f]*|[0-9]+", labels[-1]):  # an address, however it is written
+        try:
+            parts = [int(x, 16) if x.startswith("0x") else int(x, 8) if x.startswith("0") and len(x) > 1 else int(x) for x in labels]
+        except ValueError:
+            return False
+        if len(parts) > 4 or any(x > 255 for x in parts[:-1]) or parts[-1] >= 256 ** (5 - len(parts)):
+            return False
+        address = ipaddress.IPv4Address(sum(x << 8 * (3 - i) for i, x in enumerate(parts[:-1])) + parts[-1])
+        return not any(address in ipaddress.ip_network(n) for n in RESERVED_V4)
+    return len(labels) > 1 and all(labels) and labels[-1] not in ("localhost", "local", "internal")
+
+
+def _public_hosts(host: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def run(hosts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in hosts:
+            known = {h: public_host(h) for h in s.dropna().unique()}
+            yield s.map(lambda h: known.get(h, False)).astype(bool)
+
+    return run(host)
+
+
 def public_url(url: Column) -> Column:
     """The checks of a fetchable URL that need no name lookup: http or https, no user part, a host that
-    is neither local nor a private or reserved address."""
-    host = F.lower(F.parse_url(url, F.lit("HOST")))
-    octet = [F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("int") for i in (1, 2)]
-    private = (octet[0].isin(0, 10, 127) | (octet[0] >= 224) | ((octet[0] == 172) & octet[1].between(16, 31)) | ((octet[0] == 192) & (octet[1] == 168)) | ((octet[0] == 169) & (octet[1] == 254)) | ((octet[0] == 100) & octet[1].between(64, 127)))
-    local = (host == "localhost") | host.endswith(".localhost") | host.endswith(".local") | host.endswith(".internal")
-    fine = F.lower(F.parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & F.parse_url(url, F.lit("USERINFO")).isNull() & host.isNotNull() & ~local & ~F.coalesce(private, F.lit(False))
-    return F.coalesce(fine, F.lit(False))
+    is neither local nor a private or reserved address. Anything that is no such URL is false."""
+    authority = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^https?://([^/?#\\]*)", 1)
+    host = F.regexp_extract(authority, r"^(\[[^\]]*\]|[^:\[\]]*)(?::[0-9]{0,5})?$", 1)
+    fine = (authority != "") & ~authority.contains("@") & (host != "")
+    plain = host.rlike(r"^(?i)[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z][a-z0-9-]*$") & ~host.rlike(r"(?i)\.(localhost|local|internal)$")
+    return F.when(~fine, F.lit(False)).when(plain, F.lit(True)).otherwise(_public_hosts(F.when(fine & ~plain, host)))
+
+
+def json_kind(text: Column) -> Column:
+    """object, array, string, number, boolean or null: the kind of a JSON value; null for what is none."""
+    schema = F.schema_of_variant(F.try_parse_json(text))
+    return (
+        F.when(schema.startswith("OBJECT"), "object")
+        .when(schema.startswith("ARRAY"), "array")
+        .when(schema == "STRING", "string")
+        .when(schema == "BOOLEAN", "boolean")
+        .when(schema == "VOID", "null")
+        .when(schema.isNotNull(), "number")
+    )

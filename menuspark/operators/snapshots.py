@@ -29,12 +29,15 @@ def sound_prices(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("violation IS NULL").drop("violation").withColumn("price_kind", F.coalesce("price_kind", F.lit("exact"))), marked.filter("violation IS NOT NULL")
 
 
+#: How JSON writes what it cannot hold as it is.
+_ESCAPES = {chr(c): f"\\u{c:04x}" for c in range(32)} | {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r", '"': '\\"', "\\": "\\\\"}
+
+
 def _json_text(c: Column) -> Column:
-    """A JSON string literal with the escapes that JSON asks for."""
-    out = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
-    for raw, written in (("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t"), ("\b", r"\\b"), ("\f", r"\\f")):
-        out = F.regexp_replace(out, raw if raw != "\b" else "\\x08", written)
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    """A JSON string literal: quotes, backslashes and control characters are escaped, all else stays."""
+    table = F.create_map(*[F.lit(x) for pair in _ESCAPES.items() for x in pair])
+    escaped = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.concat(F.lit('"'), F.when(c.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(c), F.lit('"'))
 
 
 def _json_or_null(c: Column) -> Column:

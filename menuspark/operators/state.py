@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from menuspark.operators.latest import top_per_key
+from menuspark.sources.manifests import write_exclusive
 
 
 class StaleWriteError(RuntimeError):
@@ -46,12 +47,17 @@ def single_authority(sources: DataFrame, group: str, id_col: str, authority: Dat
 def append_snapshot(path: str, stored: DataFrame, facts: dict[str, DataFrame], source_id: int, expected: int | None) -> None:
     """Append one observation's facts if ``expected`` is still the source's latest snapshot.
 
-    Facts are written before the snapshots table, which readers join to, so a reader never sees half an
-    observation. ``stored`` holds (source_id, snapshot_id, fetched_at).
+    The right to follow a snapshot is a file of its name, created exclusively, so of two writers that
+    expect the same snapshot one fails. Facts are written before the snapshots table, which readers join
+    to, so a reader never sees half an observation. ``stored`` holds (source_id, snapshot_id, fetched_at).
     """
+    spark = stored.sparkSession
     latest = stored.filter(F.col("source_id") == source_id).agg(F.max(F.struct("fetched_at", "snapshot_id")).alias("l")).first()["l"]
-    if (latest["snapshot_id"] if latest else None) != expected:
-        raise StaleWriteError(f"source {source_id}: expected {expected}, found {latest['snapshot_id'] if latest else None}")
+    found = latest["snapshot_id"] if latest else None
+    if found != expected:
+        raise StaleWriteError(f"source {source_id}: expected {expected}, found {found}")
+    if not write_exclusive(spark, f"{path}/_follows/{source_id}-{expected}", ""):
+        raise StaleWriteError(f"source {source_id}: another writer follows {expected}")
     for name in [*[n for n in facts if n != "snapshots"], *[n for n in facts if n == "snapshots"]]:
         facts[name].write.mode("append").parquet(f"{path}/{name}")
 

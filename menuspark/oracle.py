@@ -101,7 +101,7 @@ hours_sources AS (
 hours_snapshots AS (
     SELECT o_orderkey AS hours_snapshot_id, o_custkey AS hours_source_id, o_orderdate AS fetched_at, (o_orderkey % 8)::INTEGER AS interval_count,
         'f' || (o_orderkey % 4) AS fingerprint, 'v' || (o_orderkey % 2) AS extractor
-    FROM orders WHERE o_orderkey % 3 = 0),
+    FROM orders),
 hours_intervals AS (
     SELECT hours_snapshot_id, iso_weekday::INTEGER AS iso_weekday, opens, closes, closes <= opens AS next_day FROM (
         SELECT hours_snapshot_id, unnest(range(1, interval_count + 1)) AS iso_weekday, ((hours_snapshot_id % 12) * 60 + 360)::INTEGER AS opens,
@@ -410,17 +410,11 @@ _SQL = {
     "pending_claims": "SELECT o_orderkey AS claim_id, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 100",
     "saved_items": """WITH l AS (SELECT DISTINCT ON (user_id, event_id % 40) user_id AS subject, event_id % 40 AS item_id, event_type, ts, event_id AS log_id FROM events ORDER BY user_id, event_id % 40, ts DESC, event_id DESC)
         SELECT subject, item_id, log_id, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY ts DESC, log_id DESC) AS place FROM l WHERE event_type <> 'error') WHERE place <= 50""",
-    "manifest_gate": _with(""", c AS (SELECT s.snapshot_id AS manifest_id, (s.snapshot_id % 6)::INTEGER AS minimum_items, 2 - count(DISTINCT normalized_name) FILTER (WHERE normalized_name IN ('hot gear', 'red rod')) AS missing_required,
-        count(DISTINCT normalized_name) FILTER (WHERE normalized_name = 'blue ring') AS forbidden_present, count(i.item_id) AS item_count FROM snapshots s LEFT JOIN items i USING (snapshot_id) GROUP BY ALL)
-        SELECT *, missing_required = 0 AND forbidden_present = 0 AND item_count >= minimum_items AS accepted FROM c"""),
-    "failure_rollup": _with(_ITEM_COUNTS, """, f AS (SELECT list_filter([CASE WHEN outcome = 'fetch_error' THEN 'fetch' END, CASE WHEN starts_with(error_code, 'HTTP_5') THEN 'server' END, CASE WHEN error_code = 'HTTP_501' THEN 'unsupported' END,
-            CASE WHEN item_count < minimum_items THEN 'below_minimum' END, CASE WHEN item_count = 0 THEN 'empty' END], lambda x: x IS NOT NULL) AS fs FROM watch_runs JOIN item_counts USING (source_id) JOIN menu_sources USING (source_id)),
-        e AS (SELECT unnest(fs) AS family, NOT list_has_any(fs, ['below_minimum', 'empty']) AS retry FROM f) SELECT family, count(*) AS failures, count(*) FILTER (WHERE retry) AS retryable FROM e GROUP BY family"""),
     "catalogue_proof": _with(_ITEM_COUNTS, """SELECT r.slug, n.snapshot_id, runs.last_outcome AS latest_outcome, coalesce(c.item_count, 0) AS item_count, coalesce(r.active AND m.enabled AND n.snapshot_id IS NOT NULL AND coalesce(c.item_count, 0) >= m.minimum_items, false) AS complete
         FROM restaurants r LEFT JOIN menu_sources m USING (restaurant_id) LEFT JOIN newest n USING (source_id) LEFT JOIN runs USING (source_id) LEFT JOIN item_counts c USING (source_id)"""),
     "recorded_funnel": _with("SELECT search_id, row_number() OVER (PARTITION BY search_id ORDER BY match_score DESC, impression_id)::INTEGER AS rank, part_id AS item_id, match_type, match_score AS score FROM impressions"),
     "duplicate_line_keys": "SELECT l_orderkey || '-' || l_linenumber AS line_id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",
-    "normalised_first_lines": f"SELECT doc_id, {_name(chr(34) + 'first' + chr(34))} AS normalised FROM (SELECT doc_id, string_split(text, chr(10))[1] AS first FROM documents)",
+    "normalised_documents": f"SELECT doc_id, {_name('text')} AS normalised FROM documents",
     "discovery_normalised_benchmark": "SELECT item_id, " + _DISC.format(x=_ACCENTS.format(x="text")) + " AS normalised FROM benchmark",
     "parsed_prices": f"""WITH p AS (SELECT p_partkey, {_PRICE} AS written, {_COMPACT} AS c FROM part),
         m AS (SELECT *, CASE WHEN regexp_full_match(c, '\\d{{1,5}}(?:[.,]\\d{{1,2}})?') THEN regexp_extract(c, '^(\\d+)', 1)::BIGINT * 100 + rpad(regexp_extract(c, '[.,](\\d+)$', 1), 2, '0')::BIGINT END AS minor FROM p)
@@ -442,6 +436,86 @@ _SQL = {
         SELECT doc_id, count(*) AS lines, coalesce(sum(short_length), 0)::BIGINT AS short_total FROM n GROUP BY doc_id""",
 }
 
+# What manifests ask of their items, and what is missing.
+_VARIANTS = """, priced AS (
+    SELECT snapshot_id AS manifest_id, normalized_name, lower(section) AS sec, price_minor, CASE position WHEN 2 THEN 'from' WHEN 3 THEN 'multiple' END AS kind, CASE WHEN position = 3 THEN price_minor + 100 END AS top, position FROM items),
+asked AS (
+    SELECT DISTINCT manifest_id, normalized_name, CASE WHEN manifest_id % 2 = 0 THEN sec END AS sec, price_minor + CASE WHEN manifest_id % 3 = 0 THEN 1 ELSE 0 END AS price_minor,
+        CASE WHEN manifest_id % 5 = 0 THEN 'exact' ELSE kind END AS kind, top FROM priced WHERE position IN (2, 3)),
+absent AS (
+    SELECT manifest_id, normalized_name || coalesce(' [' || sec || ']', '') || coalesce(' @ ' || price_minor, '') || coalesce(' ' || kind, '') || coalesce('..' || top, '') AS label FROM asked a
+    WHERE NOT EXISTS (SELECT 1 FROM priced p WHERE p.manifest_id = a.manifest_id AND p.normalized_name = a.normalized_name AND (a.sec IS NULL OR p.sec = a.sec) AND p.price_minor = a.price_minor
+        AND coalesce(p.kind, 'exact') = a.kind AND (a.top IS NULL OR p.top = a.top)))
+"""
+# A failed validation belongs to the families of its menu, its blocking hours and its actions.
+_WIRE = "(?i)http\\s+[45]\\d\\d|fetch|network|socket|timeout|timed out|econn|enotfound|dns|tls|certificate|redirect"
+_READING = "(?i)extract|no menu|empty menu|source declared|unsupported source"
+_PASSING = "(?i)pdf source did not start with a pdf signature|unexpectedly returned http 304|temporary|temporarily unavailable|connection reset|aborted due to timeout"
+_VALIDATIONS = f"""WITH v AS (
+    SELECT o_orderkey AS id, o_orderstatus = 'F' AS menu, o_orderkey % 7 = 0 AS checked, ['HTTP 503', 'No menu found', 'Temporarily unavailable', 'socket hang up', 'odd', NULL, 'Source declared json_ld', 'HTTP 304'][o_orderkey % 8 + 1] AS menu_error,
+        o_orderkey % 3 = 0 AS blocking, o_orderkey % 4 <> 0 AS hours, ['TLS handshake', 'no intervals', NULL, 'DNS'][(o_orderkey // 7) % 4 + 1] AS hours_error, o_orderkey % 5 = 0 AS action, CASE WHEN o_orderkey % 10 = 0 THEN 'Connection reset' END AS action_error FROM orders),
+f AS (
+    SELECT *, CASE WHEN id % 97 = 0 THEN ['manifest'] WHEN menu AND hours AND NOT action THEN [] ELSE list_filter([
+        CASE WHEN menu THEN NULL WHEN checked THEN 'menu_assertions' WHEN regexp_matches(coalesce(menu_error, ''), '{_WIRE}') THEN 'transport' WHEN regexp_matches(coalesce(menu_error, ''), '{_READING}') THEN 'extraction' ELSE 'unknown' END,
+        CASE WHEN blocking AND NOT hours THEN CASE WHEN regexp_matches(coalesce(hours_error, ''), '{_WIRE}') THEN 'transport' ELSE 'hours' END END,
+        CASE WHEN action THEN 'action' END], lambda x: x IS NOT NULL) END AS given FROM v),
+tagged AS (
+    SELECT id, CASE WHEN id % 97 <> 0 AND NOT (menu AND hours AND NOT action) AND len(given) = 0 THEN ['unknown'] WHEN len(given) > 1 AND given[1] = given[2] THEN given[2:] ELSE given END AS families,
+        concat_ws(' | ', menu_error, CASE WHEN blocking THEN hours_error END, action_error) AS errors FROM f),
+judged AS (
+    SELECT *, NOT list_has_any(families, ['menu_assertions', 'hours', 'extraction']) AND (list_has_any(families, ['transport', 'action']) OR list_contains(families, 'unknown') AND regexp_matches(errors, '{_PASSING}')) AS again FROM tagged)
+"""
+# Blocks of addresses that are not public.
+_BLOCKS = "('0.0.0.0', 8), ('10.0.0.0', 8), ('100.64.0.0', 10), ('127.0.0.0', 8), ('169.254.0.0', 16), ('172.16.0.0', 12), ('192.0.0.0', 24), ('192.0.2.0', 24), ('192.31.196.0', 24), ('192.52.193.0', 24), ('192.88.99.0', 24), ('192.168.0.0', 16), ('192.175.48.0', 24), ('198.18.0.0', 15), ('198.51.100.0', 24), ('203.0.113.0', 24), ('224.0.0.0', 4), ('240.0.0.0', 4)"
+_PUBLIC = [5, 8, 9, 12, 16]  # of the listed spellings: a name, an address in three notations, a name in capitals
+_HAND_OFF = "WITH saved AS (" + _SQL["saved_items"] + ") SELECT subject, string_agg(item_id::VARCHAR, ',' ORDER BY place) AS items FROM saved GROUP BY subject"
+_SQL |= {
+    "manifest_gate": _with(_VARIANTS, """, c AS (SELECT s.snapshot_id AS manifest_id, (s.snapshot_id % 6)::INTEGER AS minimum_items, 2 - count(DISTINCT normalized_name) FILTER (WHERE normalized_name IN ('hot gear', 'red rod')) AS names,
+        count(DISTINCT normalized_name) FILTER (WHERE normalized_name = 'blue ring') AS forbidden_present, count(i.item_id) AS item_count FROM snapshots s LEFT JOIN items i USING (snapshot_id) GROUP BY ALL),
+        m AS (SELECT c.* EXCLUDE (names), names + (SELECT count(*) FROM absent a WHERE a.manifest_id = c.manifest_id) AS missing_required FROM c)
+        SELECT *, missing_required = 0 AND forbidden_present = 0 AND item_count >= minimum_items AS accepted FROM m"""),
+    "missing_variants": _with(_VARIANTS, "SELECT manifest_id, label FROM absent"),
+    "failure_families": _VALIDATIONS + "SELECT id AS validation_id, array_to_string(families, ',') AS families, again FROM judged",
+    "failure_rollup": _VALIDATIONS + """, e AS (SELECT unnest(families) AS family, again FROM judged)
+        SELECT n.family, count(e.family) AS failures, count(*) FILTER (WHERE e.again) AS retryable FROM (VALUES ('manifest'), ('transport'), ('extraction'), ('menu_assertions'), ('hours'), ('action'), ('unknown')) AS n(family) LEFT JOIN e USING (family) GROUP BY n.family""",
+    "onboarding_outcomes": _with(""", w AS (SELECT source_id AS restaurant_id, outcome, row_number() OVER (PARTITION BY source_id ORDER BY started_at, run_id) AS turn FROM watch_runs),
+        g AS (SELECT restaurant_id, coalesce(bool_or(outcome IN ('changed', 'unchanged', 'not_modified')) FILTER (WHERE turn = 1), false) AS a, coalesce(bool_or(outcome IN ('changed', 'unchanged', 'not_modified')) FILTER (WHERE turn = 2), false) AS b FROM w GROUP BY restaurant_id),
+        s AS (SELECT r.restaurant_id, r.active, CASE WHEN NOT coalesce(a, false) THEN 'first_watch' WHEN NOT coalesce(b, false) THEN 'second_watch' WHEN r.restaurant_id % 6 = 0 THEN 'assertions' WHEN r.restaurant_id % 4 = 0 AND r.restaurant_id % 8 <> 0 THEN 'hours' END AS step FROM restaurants r LEFT JOIN g USING (restaurant_id))
+        SELECT restaurant_id, CASE WHEN step IS NULL THEN CASE WHEN active THEN 'already_published' ELSE 'published' END WHEN active AND restaurant_id % 5 <> 0 THEN 'restored' ELSE 'failed' END AS outcome, step FROM s"""),
+    "active_grants": "SELECT s_suppkey AS grant_id, make_timestamp(2000, s_nationkey % 12 + 1, 1, 0, 0, 0) AS granted_at FROM supplier WHERE s_acctbal >= 0 ORDER BY s_nationkey % 12, s_suppkey LIMIT 50",
+    "saved_item_hand_off": _HAND_OFF,
+    "stale_hours_observations": _with(", seen AS (SELECT *, max(fetched_at) OVER (PARTITION BY hours_source_id ORDER BY hours_snapshot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS checked FROM hours_snapshots) SELECT hours_snapshot_id, hours_source_id FROM seen WHERE fetched_at < checked"),
+    "hours_watch_summary": _with(""", r AS (SELECT ['changed', 'quarantined', 'unchanged', 'fetch_error', 'unexpected_error', 'extraction_error'][hours_source_id % 6 + 1] AS outcome, CASE WHEN hours_source_id % 11 <> 0 THEN verification_status END AS status FROM hours_sources),
+        f AS (SELECT outcome NOT IN ('changed', 'unchanged') AS failed, status = 'provisional' AND outcome <> 'unexpected_error' AS lenient FROM r)
+        SELECT count(*) AS due, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE failed AND NOT coalesce(lenient, false)) AS blocking_failed, count(*) FILTER (WHERE failed AND lenient) AS non_blocking_failed FROM f"""),
+    "browse_order": _with(_BROWSE, "SELECT identity, dish_name FROM catalogue ORDER BY lower(dish_name), identity LIMIT 30"),
+    "topic_examples": _with(_BROWSE, """, named AS (SELECT h.topic_id, c.dish_name, c.identity, unnest(string_split(c.restaurant_examples, ',')) AS restaurant, generate_subscripts(string_split(c.restaurant_examples, ','), 1) AS nth
+            FROM topic_hits h JOIN catalogue c USING (identity) WHERE h.score = (SELECT max(score) FROM topic_hits x WHERE x.topic_id = h.topic_id)),
+        turns AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY lower(dish_name), identity, nth) AS turn FROM named),
+        firsts AS (SELECT topic_id, restaurant, min(turn) AS turn FROM turns GROUP BY ALL), two AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY turn) AS place FROM firsts)
+        SELECT topic_id, string_agg(restaurant, ',' ORDER BY turn) AS examples FROM two WHERE place <= 2 GROUP BY topic_id"""),
+    "topic_preview": "WITH ranked AS (" + _SQL["topic_ranking"] + """),
+        listed AS (SELECT *, list_position(['south', 'east', 'north'], area) AS area_place FROM ranked WHERE place <= 2),
+        own AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY area_place, place) AS turn FROM listed),
+        counted AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY place, topic_id)::INTEGER AS shown FROM own WHERE turn = 1)
+        SELECT area, topic_id, label, restaurant_count, shown FROM counted WHERE shown <= 1""",
+    "quality_report": _with(_SOURCES, _ZERO, f""", own AS (SELECT DISTINCT restaurant_id, hours_health, interval_count FROM quality),
+        t AS (SELECT count(DISTINCT restaurant_id) FILTER (WHERE active) AS active_restaurants, count(DISTINCT restaurant_id) FILTER (WHERE NOT active) AS candidate_restaurants, count(*) AS menu_sources,
+            count(*) FILTER (WHERE health = 'healthy') AS healthy_sources, count(*) FILTER (WHERE health NOT IN ('healthy', 'disabled')) AS degraded_sources, sum(item_count)::BIGINT AS current_items FROM quality),
+        w AS (SELECT (SELECT count(*) FROM searches WHERE result_count = 0 AND occurred_at >= {ENOW} - INTERVAL 7 DAY) AS zero_result_searches, (SELECT count(*) FROM conversions WHERE occurred_at >= {ENOW} - INTERVAL 7 DAY) AS conversions,
+            (SELECT coalesce(sum(count_7d) FILTER (WHERE current_resolution IS NULL), 0)::BIGINT FROM zero_top) AS unresolved_zero_results),
+        k AS (SELECT """ + ", ".join(f"count(*) FILTER (WHERE match_type = '{m}') AS {m}_7d" for m in MATCH_TYPES) + f""", count(*) AS impressions_7d FROM impressions WHERE created_at >= {ENOW} - INTERVAL 7 DAY),
+        h AS (SELECT """ + ", ".join(f"count(*) FILTER (WHERE hours_health = '{x}') AS hours_{x}" for x in ("healthy", "degraded", "stale", "unverified", "disabled")) + """, sum(interval_count)::BIGINT AS intervals FROM own),
+        s AS (SELECT """ + f"CASE WHEN NOT enabled THEN 'disabled' WHEN expires_at <= {NOW} THEN 'expired' WHEN expires_at <= {NOW} + INTERVAL 7 DAY THEN 'expiring' ELSE 'verified' END AS status FROM actions),"
+        + " a AS (SELECT " + ", ".join(f"count(*) FILTER (WHERE status = '{x}') AS actions_{x}" for x in ("verified", "expiring", "expired", "disabled")) + " FROM s) SELECT * FROM t, w, k, h, a"),
+    "public_addresses": f"""WITH o AS (SELECT p_partkey, (((p_partkey * 37 + p_size) % 256) * 16777216 + ((p_partkey * 101) % 256) * 65536 + ((p_partkey * 13) % 256) * 256 + p_partkey % 256)::BIGINT AS n FROM part),
+        blocks(base, width) AS (VALUES {_BLOCKS}), b AS (SELECT (string_split(base, '.')[1]::BIGINT * 16777216 + string_split(base, '.')[2]::BIGINT * 65536 + string_split(base, '.')[3]::BIGINT * 256) AS low, 1::BIGINT << (32 - width) AS size FROM blocks)
+        SELECT p_partkey, NOT EXISTS (SELECT 1 FROM b WHERE n >= low AND n < low + size) AS dotted, NOT EXISTS (SELECT 1 FROM b WHERE n >= low AND n < low + size) AS numeric FROM o""",
+    "public_url_spellings": f"SELECT n::BIGINT AS n, n IN ({', '.join(map(str, _PUBLIC))}) AS public FROM range(18) AS t(n)",
+    "json_kinds": """WITH j AS (SELECT event_id, props, ['[1, 2]', '"text"', '1.5', 'true', 'null', '{', '{}'][event_id % 7 + 1] AS odd FROM events)
+        SELECT event_id, CASE WHEN json_valid(props) THEN lower(json_type(props)) END AS whole, CASE event_id % 7 WHEN 0 THEN 'array' WHEN 1 THEN 'string' WHEN 2 THEN 'number' WHEN 3 THEN 'boolean' WHEN 4 THEN 'null' WHEN 6 THEN 'object' END AS odd FROM j""",
+}
+
 # A "small plate" is a section label to the menu reader and never a dish.
 _DISHES = """WITH dishes AS (SELECT l_orderkey AS snapshot_id, p_name AS name, 40 + max(l_partkey) % 900 AS kr FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 """

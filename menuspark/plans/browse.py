@@ -49,7 +49,7 @@ def browse_rows(d: Domain, city: str, as_of: Column, unicode: bool = True) -> Da
     own = d.query_aliases.join(active, "concept_id")
     preferred = lateral_top(active, own.select("concept_id", "query_alias", (F.col("query_alias") == F.col("concept_normalized")).alias("same"), "alias_id"), ["concept_id"], [F.desc("same"), F.asc("alias_id")])
     dims = d.menu_aliases.join(preferred, "concept_id").select("menu_alias", "concept_slug", "canonical_name", F.coalesce("query_alias", "concept_normalized").alias("preferred_query"))
-    rows = items.join(F.broadcast(dims), items["normalized_name"] == dims["menu_alias"], "left").withColumn("class", classify(F.col("name"), F.col("section"), F.col("description"), F.col("price_minor"), unicode))
+    rows = items.join(dims, items["normalized_name"] == dims["menu_alias"], "left").withColumn("class", classify(F.col("name"), F.col("section"), F.col("description"), F.col("price_minor"), unicode))
     identity = F.when(F.col("concept_slug").isNotNull(), F.concat(F.lit("concept:"), "concept_slug")).otherwise(F.concat(F.lit("menu:"), canonical_identity(F.col("name"), unicode)))
     rows = rows.withColumn("identity", identity)
     return rows.withColumn("class", F.when((F.col("class") == "dish") & (F.col("identity") == "menu:"), "invalid_fragment").otherwise(F.col("class")))
@@ -70,6 +70,11 @@ def browse(d: Domain, city: str, as_of: Column, unicode: bool = True) -> DataFra
     return joined.select("identity", "dish_name", F.coalesce("preferred_query", canonical_identity(F.col("dish_name"), unicode)).alias("query"), "restaurant_count", "restaurant_examples")
 
 
+def ordered(dishes: DataFrame) -> DataFrame:
+    """The catalogue of a city in the order it is shown: by name as Norwegian sorts, then by identity."""
+    return dishes.orderBy(F.collate("dish_name", "nb"), "identity")
+
+
 def browse_quality(d: Domain, city: str, as_of: Column, unicode: bool = True) -> DataFrame:
     """One row of counters: raw, valid, excluded, deduplicated, and one column per exclusion class."""
     rows = browse_rows(d, city, as_of, unicode)
@@ -83,11 +88,11 @@ def browse_quality(d: Domain, city: str, as_of: Column, unicode: bool = True) ->
     )
 
 
-def coverage(dishes: DataFrame, topics: DataFrame) -> DataFrame:
-    """How well the catalogue covers topics (topic_id, term): per topic the best score class (3 a term
-    equal to a dish, 2 one phrase within the other) and, of its dishes, the largest restaurant count.
+def _covering(dishes: DataFrame, topics: DataFrame) -> DataFrame:
+    """(topic_id, identity, restaurant_count, score): of each topic the dishes of its best score class, 3 for a
+    term equal to a dish's query, 2 for one phrase within the other.
 
-    Terms are an editorial list of fixed size; dishes stay where they are.
+    Terms are an editorial list of fixed size; dishes stay where they are and meet them by words.
     """
     terms = F.broadcast(topics.select("topic_id", "term").distinct())
     exact = dishes.join(terms, dishes["query"] == terms["term"]).select("topic_id", "identity", "restaurant_count", F.lit(3).alias("score"))
@@ -95,8 +100,30 @@ def coverage(dishes: DataFrame, topics: DataFrame) -> DataFrame:
     term_words = F.broadcast(topics.select("topic_id", "term", F.explode(F.array_distinct(F.split("term", " "))).alias("word")).distinct())
     meets = words.join(term_words, "word").filter(phrase_match(F.col("query"), F.col("term")) | phrase_match(F.col("term"), F.col("query")))
     found = exact.unionByName(meets.select("topic_id", "identity", "restaurant_count", F.lit(2).alias("score"))).groupBy("topic_id", "identity").agg(F.max("score").alias("score"), F.max("restaurant_count").alias("restaurant_count"))
-    best = found.withColumn("best", F.max("score").over(Window.partitionBy("topic_id"))).filter("score = best")
-    return best.groupBy("topic_id").agg(F.max("score").alias("score"), F.max("restaurant_count").alias("restaurant_count"), F.count("*").alias("matched_dishes"))
+    return found.withColumn("best", F.max("score").over(Window.partitionBy("topic_id"))).filter("score = best").drop("best")
+
+
+def coverage(dishes: DataFrame, topics: DataFrame) -> DataFrame:
+    """How well the catalogue covers topics (topic_id, term): the best score class and, of its dishes, the
+    number and the largest restaurant count."""
+    return _covering(dishes, topics).groupBy("topic_id").agg(F.max("score").alias("score"), F.max("restaurant_count").alias("restaurant_count"), F.count("*").alias("matched_dishes"))
+
+
+def coverage_examples(dishes: DataFrame, topics: DataFrame, most: int = 2) -> DataFrame:
+    """(topic_id, examples): the first distinct example restaurants of the dishes that cover a topic best,
+    dishes in the order they are shown."""
+    best = _covering(dishes, topics).select("topic_id", "identity").join(dishes.select("identity", "dish_name", "restaurant_examples"), "identity")
+    named = best.select("topic_id", F.collate("dish_name", "nb").alias("shown"), "identity", F.posexplode("restaurant_examples").alias("at", "restaurant_id"))
+    return first_distinct(named, ["topic_id"], "restaurant_id", [F.asc("shown"), F.asc("identity"), F.asc("at")], most, "examples")
+
+
+def preview(ranked: DataFrame, areas: list[str], per_area: int = 8, shown: int = 4) -> DataFrame:
+    """The preview of an explorer: of each area's first ``per_area`` topics those that no area before it has
+    shown, the first ``shown`` of them."""
+    place = F.array_position(F.array(*map(F.lit, areas)), F.col("area"))
+    listed = ranked.filter((F.col("place") <= per_area) & F.col("area").isin(areas)).withColumn("area_place", place)
+    unique = top_per_key(listed, ["topic_id"], [F.asc("area_place"), F.asc("place")])
+    return top_per_key(unique, ["area"], [F.asc("place"), F.asc("topic_id")], shown, "shown").select("area", "topic_id", "label", "restaurant_count", "shown")
 
 
 def ranked_topics(topics: DataFrame, covered: DataFrame) -> DataFrame:

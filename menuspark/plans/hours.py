@@ -18,6 +18,28 @@ def observation_outcomes(d: Domain) -> DataFrame:
     return joined.select("hours_snapshot_id", "hours_source_id", outcome.alias("outcome"))
 
 
+def stale_observations(d: Domain) -> DataFrame:
+    """(hours_snapshot_id) of observations that arrive after one fetched later and so are rejected. They
+    arrive in the order of their ids."""
+    before = Window.partitionBy("hours_source_id").orderBy("hours_snapshot_id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = d.hours_snapshots.withColumn("checked", F.max("fetched_at").over(before))
+    return seen.filter("fetched_at < checked").select("hours_snapshot_id", "hours_source_id")
+
+
+#: Outcomes of an hours watch that count as failed.
+FAILED = ("quarantined", "extraction_error", "fetch_error", "unexpected_error")
+
+
+def watch_summary(results: DataFrame, due: int | None = None) -> DataFrame:
+    """One row: due, failed, blocking and non-blocking failed watches. A failure of a source whose hours are
+    provisional or unverified does not block, unless it was unexpected. ``results`` (outcome,
+    verification_status or null)."""
+    failed = F.col("outcome").isin(*FAILED)
+    lenient = F.coalesce(F.col("verification_status").isin("provisional", "unverified"), F.lit(False)) & (F.col("outcome") != "unexpected_error")
+    counted = F.count("*") if due is None else F.lit(due).cast("long")
+    return results.agg(counted.alias("due"), F.count_if(failed).alias("failed"), F.count_if(failed & ~lenient).alias("blocking_failed"), F.count_if(failed & lenient).alias("non_blocking_failed"))
+
+
 def verification_log(d: Domain) -> DataFrame:
     """Sources whose hours are not verified, by status and restaurant."""
     rows = d.hours_sources.filter("verification_status <> 'verified'")

@@ -61,6 +61,26 @@ def sources(d: Domain, menu_as_of: Column, event_as_of: Column) -> DataFrame:
     )
 
 
+def report(d: Domain, menu_as_of: Column, event_as_of: Column) -> DataFrame:
+    """The whole report as one row: the totals of all sections."""
+    one = F.lit(1).alias("one")
+    parts = (totals(d, menu_as_of, event_as_of), window_counts(d, event_as_of), unresolved_zero_total(d, event_as_of, menu_as_of), match_types(d, event_as_of), hours_totals(d, menu_as_of, event_as_of), action_totals(d, menu_as_of))
+    whole = parts[0].select("*", one)
+    for part in parts[1:]:
+        whole = whole.join(part.select("*", one), "one")
+    return whole.drop("one")
+
+
+def hours_totals(d: Domain, menu_as_of: Column, event_as_of: Column) -> DataFrame:
+    """One row: restaurants by the health of their hours, and the intervals that are published."""
+    own = sources(d, menu_as_of, event_as_of).select("restaurant_id", "hours_health", "interval_count").distinct()
+    return own.agg(*[F.count_if(F.col("hours_health") == h).alias(f"hours_{h}") for h in ("healthy", "degraded", "stale", "unverified", "disabled")], F.sum("interval_count").alias("intervals"))
+
+
+def action_totals(d: Domain, as_of: Column) -> DataFrame:
+    return action_report(d, as_of).agg(*[F.count_if(F.col("status") == s).alias(f"actions_{s}") for s in ("verified", "expiring", "expired", "disabled")])
+
+
 def totals(d: Domain, menu_as_of: Column, event_as_of: Column) -> DataFrame:
     """One row. Every enabled source that is not healthy counts as degraded, stale ones too."""
     rows = sources(d, menu_as_of, event_as_of)
@@ -107,16 +127,16 @@ def canonical_hits(d: Domain, as_of: Column) -> DataFrame:
     """Canonical impressions of the week whose query and item are aliases of one active concept."""
     shown = d.impressions.filter((F.col("match_type") == "canonical") & within_days(F.col("created_at"), as_of, 7))
     named = shown.join(d.searches.select("search_id", "normalized_query"), "search_id").join(d.impression_items.select("part_id", "normalized_name"), "part_id")
-    by_menu = named.join(F.broadcast(d.menu_aliases), named["normalized_name"] == d.menu_aliases["menu_alias"])
+    by_menu = named.join(d.menu_aliases, named["normalized_name"] == d.menu_aliases["menu_alias"])
     routes = d.query_aliases.select("concept_id", F.col("query_alias").alias("normalized_query"))
-    return by_menu.join(F.broadcast(routes), ["concept_id", "normalized_query"])
+    return by_menu.join(routes, ["concept_id", "normalized_query"])
 
 
 def concept_coverage(d: Domain, menu_as_of: Column, event_as_of: Column) -> DataFrame:
     """Aliases, current item matches and canonical impressions of every active concept. The coverage here
     does not ask for freshness."""
     items = current_items(d, menu_as_of, fresh=False).select("item_id", "normalized_name")
-    matches = items.join(F.broadcast(d.menu_aliases), items["normalized_name"] == d.menu_aliases["menu_alias"]).groupBy("concept_id").agg(F.countDistinct("item_id").alias("item_matches"))
+    matches = items.join(d.menu_aliases, items["normalized_name"] == d.menu_aliases["menu_alias"]).groupBy("concept_id").agg(F.countDistinct("item_id").alias("item_matches"))
     demand = canonical_hits(d, event_as_of).groupBy("concept_id").agg(F.count("*").alias("impressions_7d"))
 
     def listed(*scopes: str) -> Column:
@@ -130,7 +150,7 @@ def concept_coverage(d: Domain, menu_as_of: Column, event_as_of: Column) -> Data
 
 def canonical_queries(d: Domain, as_of: Column, limit: int = 20) -> DataFrame:
     active = d.concepts.filter("concept_active").select("concept_id", "concept_slug")
-    hits = canonical_hits(d, as_of).join(F.broadcast(active), "concept_id")
+    hits = canonical_hits(d, as_of).join(active, "concept_id")
     grouped = hits.groupBy("normalized_query", "concept_slug").agg(F.countDistinct("search_id").alias("searches_7d"), F.count("*").alias("impressions_7d"), F.round(F.avg("match_score"), 6).alias("average_score"))
     return grouped.orderBy(F.desc("searches_7d"), F.desc("impressions_7d"), "normalized_query", "concept_slug").limit(limit)
 

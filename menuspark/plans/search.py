@@ -11,7 +11,6 @@ from menuspark.operators.latest import latest_per_key
 from menuspark.operators.match import match_tiers
 from menuspark.plans.index import current_items
 from menuspark.sources.driver_tables import Domain
-from menuspark.storage import materialize
 
 
 def check_request(query: str, limit: int, latitude: float | None, longitude: float | None, sort: str) -> None:
@@ -70,7 +69,8 @@ def search(d: Domain, query: str, city: str, as_of: Column, limit: int = 20, lat
         matched = matched.withColumn("distance", F.round(metres(F.col("lat"), F.col("lon"), F.lit(latitude), F.lit(longitude)), 3))
     near = [F.asc_nulls_last("distance")] if latitude is not None else []
     order = [*(near if sort == "distance" else []), F.desc("score"), *(near if sort == "relevance" else []), F.desc("confidence"), F.desc("fetched_at"), F.asc("restaurant_name"), F.asc("position"), F.asc("item_id")]
-    top = materialize(matched.orderBy(*order).limit(limit), "search-top")  # at most 50 rows
+    best = matched.orderBy(*order).limit(limit).select("item_id", "restaurant_id", "name", "city", "price_minor", "match_type", "score", "concept_slug", "distance")
+    top = d.spark.createDataFrame(best.collect(), best.schema)  # the page itself, at most 50 rows
     enriched = top.join(opening_states(d, as_of, top.select("restaurant_id").distinct()), "restaurant_id", "left").join(live_action(d, "booking", as_of), "restaurant_id", "left").join(live_action(d, "order", as_of), "restaurant_id", "left")
     return enriched.select("item_id", "restaurant_id", "name", "city", "price_minor", "match_type", "score", "concept_slug", "distance", F.coalesce("opening_state", F.lit("unknown")).alias("opening_state"), "booking_url", "order_url")
 

@@ -136,6 +136,23 @@ def browse_dishes(d):
     return found.withColumn("restaurant_examples", F.array_join("restaurant_examples", ","))
 
 
+@query
+def browse_order(d):
+    """The catalogue in the order it is shown, one page of it."""
+    return browse.ordered(browse.browse(d, CITY, menu_now(), unicode=False)).limit(30).select("identity", "dish_name")
+
+
+@query
+def topic_examples(d):
+    dishes = browse.browse(d, CITY, menu_now(), unicode=False)
+    return browse.coverage_examples(dishes, _topics(d)).select("topic_id", F.array_join("examples", ",").alias("examples"))
+
+
+@query
+def topic_preview(d):
+    return browse.preview(topic_ranking(d), ["south", "east", "north"], 2, 1)
+
+
 @query
 def browse_quality(d):
     return browse.browse_quality(d, CITY, menu_now(), unicode=False)
@@ -218,6 +235,11 @@ def quality_totals(d):
     return quality.totals(d, menu_now(), event_now())
 
 
+@query
+def quality_report(d):
+    return quality.report(d, menu_now(), event_now())
+
+
 @query
 def zero_result_queries(d):
     return quality.zero_results(d, event_now(), menu_now())
@@ -458,6 +480,18 @@ def hours_observation_outcomes(d):
     return hours.observation_outcomes(d)
 
 
+@query
+def stale_hours_observations(d):
+    return hours.stale_observations(d)
+
+
+@query
+def hours_watch_summary(d):
+    """The latest run of every hours source, under outcomes by its number."""
+    outcome = F.element_at(F.array(*map(F.lit, ("changed", "quarantined", "unchanged", "fetch_error", "unexpected_error", "extraction_error"))), (F.col("hours_source_id") % 6 + 1).cast("int"))
+    return hours.watch_summary(d.hours_sources.select(outcome.alias("outcome"), F.when(F.col("hours_source_id") % 11 != 0, F.col("verification_status")).alias("verification_status")))
+
+
 @query
 def hours_verification_log(d):
     return hours.verification_log(d)
@@ -482,21 +516,94 @@ def saved_items(d):
     return registry.saved_items(log, 50).select("subject", "item_id", "log_id", "place")
 
 
+def _priced_items(d):
+    """Items with a price kind and a maximum, under the manifest that their snapshot stands for."""
+    kind = F.when(F.col("position") == 2, "from").when(F.col("position") == 3, "multiple")
+    top = F.when(F.col("position") == 3, F.col("price_minor") + 100)
+    return d.items.select(F.col("snapshot_id").alias("manifest_id"), "normalized_name", F.lower("section").alias("normalized_section"), "price_minor", kind.alias("price_kind"), top.alias("price_max_minor"), "position")
+
+
 @query
 def manifest_gate(d):
-    items = d.items.select(F.col("snapshot_id").alias("manifest_id"), "normalized_name")
+    items = _priced_items(d)
     rules = [("required", "hot gear"), ("required", "red rod"), ("forbidden", "blue ring")]
     rule = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("normalized_name")) for k, n in rules]))
     expected = d.snapshots.select(F.col("snapshot_id").alias("manifest_id"), (F.col("snapshot_id") % 6).cast("int").alias("minimum_items"), rule.alias("r")).select("manifest_id", "minimum_items", "r.kind", "r.normalized_name")
-    return registry.manifest_gate(expected, items)
+    return registry.manifest_gate(expected, items, _variants(d, items))
+
+
+def _variants(d, items) -> DataFrame:
+    """Every manifest asks for its items of position 2 and 3 as they are, but for a price one off in every
+    third manifest and a kind of its own in every fifth."""
+    third, fifth = F.col("manifest_id") % 3 == 0, F.col("manifest_id") % 5 == 0
+    asked = items.filter("position IN (2, 3)").select("manifest_id", "normalized_name", F.when(F.col("manifest_id") % 2 == 0, F.col("normalized_section")).alias("normalized_section"), F.when(third, F.col("price_minor") + 1).otherwise(F.col("price_minor")).alias("price_minor"), F.when(fifth, F.lit("exact")).otherwise(F.col("price_kind")).alias("price_kind"), "price_max_minor")
+    label = registry.variant_label(F.col("normalized_name"), F.col("normalized_section"), F.col("price_minor"), F.col("price_kind"), F.col("price_max_minor"))
+    return asked.withColumn("label", label).distinct()
+
+
+@query
+def missing_variants(d):
+    items = _priced_items(d)
+    return registry.missing_variants(_variants(d, items), items)
+
+
+def _validations(d) -> DataFrame:
+    """A validation for every order, with messages of all kinds."""
+    key = F.col("o_orderkey")
+
+    def pick(values, index):
+        return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (index + 1).cast("int"))
+
+    menu, hours = F.col("o_orderstatus") == "F", key % 4 != 0
+    return d._table("orders").select(
+        key.alias("validation_id"),
+        F.when(key % 97 != 0, menu & hours & (key % 5 != 0)).alias("accepted"),
+        menu.alias("menu_accepted"),
+        (key % 7 == 0).alias("menu_checked"),
+        pick(MENU_ERRORS, key % len(MENU_ERRORS)).alias("menu_error"),
+        (key % 3 == 0).alias("hours_blocking"),
+        hours.alias("hours_accepted"),
+        pick(HOURS_ERRORS, F.floor(key / 7) % len(HOURS_ERRORS)).alias("hours_error"),
+        F.when(key % 5 == 0, 1).otherwise(0).alias("failed_actions"),
+        F.when(key % 10 == 0, "Connection reset").alias("action_errors"),
+    )
+
+
+MENU_ERRORS = ["HTTP 503", "No menu found", "Temporarily unavailable", "socket hang up", "odd", None, "Source declared json_ld", "HTTP 304"]
+HOURS_ERRORS = ["TLS handshake", "no intervals", None, "DNS"]
 
 
 @query
 def failure_rollup(d):
-    runs = d.watch_runs.join(quality.latest_item_counts(d), "source_id").join(d.menu_sources.select("source_id", "minimum_items"), "source_id")
-    families = registry.failure_families(F.col("outcome"), F.col("error_code"), F.col("item_count"), F.col("minimum_items"))
-    tagged = runs.withColumn("families", families).withColumn("retry", registry.retryable(F.col("families"), F.lit(1)))
-    return tagged.select("retry", F.explode("families").alias("family")).groupBy("family").agg(F.count("*").alias("failures"), F.count_if("retry").alias("retryable"))
+    return registry.failure_rollup(_validations(d))
+
+
+@query
+def failure_families(d):
+    v = _validations(d)
+    tagged = v.withColumn("families", registry.failure_families(v))
+    return tagged.select("validation_id", F.array_join("families", ",").alias("families"), F.coalesce(registry.retryable(v, F.col("families"), F.lit(2)), F.lit(False)).alias("again"))
+
+
+@query
+def onboarding_outcomes(d):
+    """Each restaurant's first two watch runs and facts by its number."""
+    order = [F.asc("started_at"), F.asc("run_id")]
+    watches = latest.top_per_key(d.watch_runs, ["source_id"], order, 2, "turn").select(F.col("source_id").alias("restaurant_id"), "turn", "outcome")
+    key = F.col("restaurant_id")
+    facts = d.restaurants.select("restaurant_id", "active", (key % 6 != 0).alias("assertions_hold"), (key % 4 == 0).alias("hours_blocking"), (key % 8 == 0).alias("hours_accepted"), (key % 5 != 0).alias("snapshot_safe"))
+    return registry.onboarding(watches, facts)
+
+
+@query
+def active_grants(d):
+    grants = d._table("supplier").select(F.col("s_suppkey").alias("grant_id"), F.col("s_nationkey").alias("restaurant_id"), F.make_date(F.lit(2000), (F.col("s_nationkey") % 12 + 1).cast("int"), F.lit(1)).cast("timestamp").alias("granted_at"), F.when(F.col("s_acctbal") < 0, F.col("s_acctbal")).alias("revoked_at"))
+    return registry.active_grants(grants, 50).select("grant_id", "granted_at")
+
+
+@query
+def saved_item_hand_off(d):
+    return registry.hand_off(saved_items(d)).select("subject", F.array_join("items", ",").alias("items"))
 
 
 @query
@@ -522,9 +629,8 @@ def duplicate_line_keys(d):
 
 
 @query
-def normalised_first_lines(d):
-    first = F.element_at(F.split(F.col("text"), "\n"), 1)
-    return d._table("documents").select("doc_id", text.dish_name(first).alias("normalised"))
+def normalised_documents(d):
+    return d._table("documents").select("doc_id", text.dish_name(F.col("text")).alias("normalised"))
 
 
 @query
@@ -563,6 +669,37 @@ def public_urls(d):
     return d._table("pages").select("page_id", text.public_url(F.col("url")).alias("public"))
 
 
+@query
+def public_addresses(d):
+    """Hosts that are addresses, in the usual notation and as one number."""
+    key = F.col("p_partkey")
+    octets = [(key * 37 + F.col("p_size")) % 256, (key * 101) % 256, (key * 13) % 256, key % 256]
+    dotted = F.concat_ws(".", *octets)
+    number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
+    return d._table("part").select("p_partkey", text.public_url(F.concat(F.lit("https://"), dotted, F.lit("/menu"))).alias("dotted"), text.public_url(F.concat(F.lit("http://"), number, F.lit(":8080/"))).alias("numeric"))
+
+
+@query
+def public_url_spellings(d):
+    """Spellings that hide a host, each under its own number."""
+    rows = d.spark.createDataFrame(list(enumerate(URL_SPELLINGS)), "n long, url string")
+    return rows.select("n", text.public_url(F.col("url")).alias("public"))
+
+
+URL_SPELLINGS = [
+    "http://[::1]/", "http://[fe80::1]/", "http://2130706433/", "http://198.18.0.1/", "http://localhost./", "http://a.example.com:80/x", "https://u:p@a.com", "ftp://a.com", "http://8.8.8.8/", "http://[2606:4700::1111]/",
+    "http://[2001:db8::1]/", "http://0x7f.1/", "http://134744072/", "http://a.local/", "http://intranet/", "http:///x", "HTTP://EXAMPLE.com", "http://1.2.3.4.5/",
+]
+
+
+@query
+def json_kinds(d):
+    """The kinds of JSON values: whole documents, a member, and texts that are none."""
+    props = F.col("props")
+    odd = F.element_at(F.array(*map(F.lit, ("[1, 2]", '"text"', "1.5", "true", "null", "{", "{}"))), (F.col("event_id") % 7 + 1).cast("int"))
+    return d._table("events").select("event_id", text.json_kind(props).alias("whole"), text.json_kind(odd).alias("odd"))
+
+
 @query
 def clock_minutes(d):
     written = F.concat(F.col("o_orderkey") % 26, F.element_at(F.array(*map(F.lit, ("", ":30", ".15 pm", "am", " pm", ":7"))), (F.col("o_orderkey") % 6 + 1).cast("int")))

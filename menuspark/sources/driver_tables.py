@@ -224,7 +224,7 @@ class Domain:
     @cached_property
     def hours_snapshots(self) -> DataFrame:
         key = F.col("o_orderkey")
-        return self._table("orders").filter("o_orderkey % 3 = 0").select(key.alias("hours_snapshot_id"), F.col("o_custkey").alias("hours_source_id"), F.col("o_orderdate").alias("fetched_at"), (key % 8).cast("int").alias("interval_count"), F.concat(F.lit("f"), key % 4).alias("fingerprint"), F.concat(F.lit("v"), key % 2).alias("extractor"))
+        return self._table("orders").select(key.alias("hours_snapshot_id"), F.col("o_custkey").alias("hours_source_id"), F.col("o_orderdate").alias("fetched_at"), (key % 8).cast("int").alias("interval_count"), F.concat(F.lit("f"), key % 4).alias("fingerprint"), F.concat(F.lit("v"), key % 2).alias("extractor"))
 
     @cached_property
     def hours_intervals(self) -> DataFrame:

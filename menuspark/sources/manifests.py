@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from menuspark.storage import hadoop_path
+
 SCHEMA = """
     slug string, name string, city string, countryCode string, address string, websiteUrl string, latitude double, longitude double,
     menuSource struct<url string, sourceType string, fetchMode string, checkIntervalMinutes int, minimumExpectedItems int>,
@@ -44,3 +47,19 @@ def generated(items: DataFrame, key: str, spread: int = 5) -> DataFrame:
     counts = items.groupBy(key).agg(F.count("*").cast("int").alias("minimum_items"))
     picks = evenly_spaced(items, ["position", "name"], spread, [key]).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "name"))), lambda s: s["name"]).alias("required"))
     return counts.join(picks, key)
+
+
+def write_exclusive(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a new file; false, and nothing written, if there is one of that name already."""
+    fs, at = hadoop_path(spark, path)
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
