@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: A side of at most this many bytes (rows x row width, both measured) may be broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch of whole texts; one longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 _own_root: str | None = None
 #: Paths written inside each open ``scratch``, innermost last.
@@ -82,16 +84,16 @@ def release(*tables: DataFrame) -> None:
 
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
-    """Hold Arrow batches to ``rows`` rows for what runs inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if rows is not None:
-        spark.conf.set(name, str(rows))
+    """Hold Arrow batches to ``rows`` rows, and to ``BATCH_BYTES``, for what runs inside."""
+    wanted = {} if rows is None else {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if rows is not None:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 @contextmanager
