@@ -33,6 +33,8 @@ DICTIONARY_BYTES = 64 << 10
 BLOCK = 256
 LEVEL = 3
 SEED = 29
+#: Rows of whole texts that one Arrow batch holds.
+ROWS_AT_ONCE = 1024
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -167,3 +169,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
             yield pd.Series(model.scores(texts.tolist()))
 
     return docs.withColumn(out_col, run(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+
+
+def scores(docs: DataFrame, model: Model, keys: list[str], text_col: str = "text") -> DataFrame:
+    """``keys`` and ``score`` of every row, written once: a narrow table made in small batches."""
+    scored = score(docs.select(*keys, text_col), model, text_col, "score")
+    return materialize(scored.select(*keys, "score"), "quality-scores", ROWS_AT_ONCE)

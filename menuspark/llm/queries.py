@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from menuspark.llm import bpe, exact_dedup, html_extract, mixing, quality, rollups, sharding, simhash, topk, warc
-from menuspark.storage import scratch_path, table
+from menuspark.storage import materialize, scratch_path, table
+
+#: Rows of whole texts that one Arrow batch holds.
+ROWS_AT_ONCE = 1024
 
 
 def word_vocabulary() -> str:
@@ -50,7 +53,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its score and prediction; trained on rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs.select("doc_id", "text"), model)
+    scored = quality.scores(docs, model, ["doc_id"])
     return scored.select("doc_id", (quality.fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -90,12 +93,13 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: token count and digests of its ids and of the decoded text."""
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), word_vocabulary())
-    return coded.select(
+    digests = coded.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+    return materialize(digests, "bpe-digests", ROWS_AT_ONCE)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ SHINGLE_WORDS = 3
 MAX_BITS = 2
 HASH_SEED = 42
 BUCKET_CAP = 256
+#: Rows of whole texts that one Arrow batch holds.
+ROWS_AT_ONCE = 1024
 #: Shingles whose bits are unpacked at once: 64 bytes each.
 _CHUNK = 1 << 15
 
@@ -173,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with that id one. Null and blank texts have fingerprint zero and link like any other; an empty
     table gives an empty result.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, row_col, words), "simhash-rows")
+    rows = materialize(fingerprints(docs, id_col, text_col, row_col, words), "simhash-rows", ROWS_AT_ONCE)
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))
     distinct = materialize(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-fps")
     roots = connected_components(near_links(distinct.select("fp"), bucket_cap=bucket_cap))
