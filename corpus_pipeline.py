@@ -34,8 +34,9 @@ def _without(docs: DataFrame, dropped: DataFrame, tag: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the compression classifier accepts. Null and empty texts are scored like any other."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, out_col="__menuspark_score")
-    return scored.filter(F.col("__menuspark_score") >= quality.THRESHOLD).select(*docs.columns)
+    rows = _numbered(docs)
+    scored = quality.scores(rows, model, [ROW])
+    return _without(rows, scored.filter(F.col("score") < quality.THRESHOLD).select(F.col(ROW).alias("row")), "pipeline-rejected")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
