@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: A side of at most this many bytes (rows x row width, both measured) may be broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Narrow rows to a written file.
+FILE_ROWS = 1_000_000
 #: Bytes of an Arrow batch of whole texts; one longer text is a batch of its own.
 BATCH_BYTES = 8 << 20
 
@@ -61,10 +63,14 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str, batch_rows: int | None = None, rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: one evaluation, short lineage. ``batch_rows``
-    bounds the Arrow batches of Python functions in ``df``, for rows that hold whole texts."""
+    bounds the Arrow batches of Python functions in ``df``, for rows that hold whole texts. ``rows``, about
+    how many narrow rows ``df`` has, deals them over files of ``per_file`` rows each, since a scan of many
+    partitions would leave a tiny file for each."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.repartition(max(1, -(-rows // per_file)))
     path = scratch_path(spark, tag)
     with arrow_batches(spark, batch_rows):
         df.write.parquet(path)
