@@ -52,19 +52,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     source = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm")).withColumn("digest", digest(F.col("norm")))
 
-    rows = materialize(source.select("id", "row", "digest"), "exact-rows")
-    each = max(salt_rows, -(-rows.count() // MOST_HOT))
+    count = docs.count()
+    rows = materialize(source.select("id", "row", "digest"), "exact-rows", rows=count)
+    each = max(salt_rows, -(-count // MOST_HOT))
     salted_more = rows.groupBy("digest").count().filter(F.col("count") > each).select("digest", F.ceil(F.col("count") / each).cast("int").alias("salts"))
 
     dealt = source.select("norm", "id", "digest").join(F.broadcast(salted_more), "digest", "left")
     dealt = dealt.select("id", "norm", "digest", "salts", F.when(F.col("salts").isNotNull(), F.pmod(F.spark_partition_id(), F.col("salts"))).otherwise(0).alias("salt"))
     salted = dealt.groupBy("digest", "salts", "salt", "norm").agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
     # content is kept only where the winners of several salts are still to meet
-    merged = materialize(salted.select("digest", "salts", F.when(F.col("salts").isNotNull(), F.col("norm")).alias("content"), "keep_id", "n"), "exact-salted")
+    merged = materialize(salted.select("digest", "salts", F.when(F.col("salts").isNotNull(), F.col("norm")).alias("content"), "keep_id", "n"), "exact-salted", rows=count)
     complete = merged.filter("salts IS NULL").select("digest", "keep_id", F.col("n").alias("group_size"))
     combined = merged.filter("salts IS NOT NULL").groupBy("digest", "content").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     winners = complete.unionByName(combined.drop("content")).withColumn("text_of", F.lit(0))
-    collided = materialize(winners.groupBy("digest").count().filter("count > 1").select("digest"), "exact-collided")
+    collided = materialize(winners.groupBy("digest").count().filter("count > 1").select("digest"), "exact-collided", rows=1)
 
     found, group = rows, ["digest"]
     if not collided.isEmpty():
@@ -77,5 +78,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         group = ["digest", "text_of"]
     # of rows repeated with the id that stays, the first
     first = found.join(winners, group).filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy(*group).agg(F.min("row").alias("keep_row"))
-    whole = materialize(winners.join(first, group).select(*group, "keep_id", "group_size", "keep_row"), "exact-groups")
+    whole = materialize(winners.join(first, group).select(*group, "keep_id", "group_size", "keep_row"), "exact-groups", rows=count)
     return found.join(whole, group).select("id", "row", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest")

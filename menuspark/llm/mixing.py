@@ -163,21 +163,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
+    count = docs.count()
     rows = materialize(
         docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), key.alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
         "mix-rows",
+        rows=count,
     )
     sources = numbered(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("number", F.lit(len(weights))) + 1).cast("int"))
     plan = materialize(sources.select("source", "source_size", weight.alias("weight")), "mix-plan")
-    count, width = plan.agg(F.count("*"), F.coalesce(F.avg(F.octet_length("source")), F.lit(0.0))).first()
-    plan = sized(water_fill(plan).drop("weight"), count, int(width) + 48)
+    listed, width = plan.agg(F.count("*"), F.coalesce(F.avg(F.octet_length("source")), F.lit(0.0))).first()
+    plan = sized(water_fill(plan).drop("weight"), listed, int(width) + 48)
 
     cell = ["source", "size", "bucket"]
     mixed_hash = F.xxhash64(F.lit(seed), "id")
     dealt = rows.withColumn("hash", mixed_hash).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)))
     ranked = dealt.withColumn("turn", F.row_number().over(Window.partitionBy(*cell).orderBy("hash", "id", "row")))
-    cells = materialize(dealt.groupBy(*cell).agg(F.count("*").alias("n")), "mix-cells")
+    cells = materialize(dealt.groupBy(*cell).agg(F.count("*").alias("n")), "mix-cells", rows=count)
     sizes = cells.filter("size > 0").groupBy("source", "size").agg(F.sum("n").alias("n")).join(plan, "source")
 
     def fit_source(group: pd.DataFrame) -> pd.DataFrame:

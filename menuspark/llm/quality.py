@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picks = [usable.filter(F.col("label") == k).orderBy(turn, "label_id").limit(sample_rows).select("label_id", "label") for k in (0, 1)]
     picked = picks[0].unionByName(picks[1])
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("binary").alias("text")).filter(F.octet_length("text") > 0)
-    sample = materialize(texts.join(F.broadcast(picked), "label_id").select("label_id", "label", turn.alias("turn"), F.xxhash64("text").alias("tie"), "text"), "quality-sample")
+    sample = materialize(texts.join(F.broadcast(picked), "label_id").select("label_id", "label", turn.alias("turn"), F.xxhash64("text").alias("tie"), "text"), "quality-sample", rows=2 * sample_rows, per_file=1000)
     long = F.octet_length("text") > min(SAMPLE_TEXT_BYTES, sample_bytes)
     order = Window.partitionBy("label").orderBy(long, F.when(long, F.octet_length("text")), "turn", "label_id", "tie")
     sums = sample.withColumn("place", F.row_number().over(order)).withColumn("running", F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -174,4 +174,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 def scores(docs: DataFrame, model: Model, keys: list[str], text_col: str = "text") -> DataFrame:
     """``keys`` and ``score`` of every row, written once: a narrow table made in small batches."""
     scored = score(docs.select(*keys, text_col), model, text_col, "score")
-    return materialize(scored.select(*keys, "score"), "quality-scores", ROWS_AT_ONCE)
+    return materialize(scored.select(*keys, "score"), "quality-scores", ROWS_AT_ONCE, docs.count())

@@ -92,14 +92,15 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: token count and digests of its ids and of the decoded text."""
-    coded = bpe.round_trip(table(spark, sf_dir, "documents"), word_vocabulary())
+    docs = table(spark, sf_dir, "documents")
+    coded = bpe.round_trip(docs, word_vocabulary())
     digests = coded.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    return materialize(digests, "bpe-digests", ROWS_AT_ONCE)
+    return materialize(digests, "bpe-digests", ROWS_AT_ONCE, docs.count())
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    count = docs.count()
     rows = materialize(
         docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), text.alias("text")).select(
             "id",
@@ -118,13 +119,14 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.unhex(F.sha2("text", 256)).alias("digest"),
         ),
         "shard-rows",
+        rows=count,
     )
     totals = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
     whole = np.array([max(1, x or 0) for x in totals], dtype=float)
     share = F.greatest(F.col("size") / float(whole[0]), F.col("tokens") / float(whole[1]), F.col("n") / float(whole[2]))
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
 
-    groups = materialize(rows.groupBy("digest").agg(*sums).withColumn("share", share), "shard-groups")
+    groups = materialize(rows.groupBy("digest").agg(*sums).withColumn("share", share), "shard-groups", rows=count)
     filled = F.col("size") / float(whole[0]) * shards
     beyond = groups.filter(filled > 1).select("digest", F.ceil(filled * PIECES).cast("int").alias("pieces"))  # fewer than shards
     pieced = rows.join(F.broadcast(beyond), "digest", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id", "row"), F.col("pieces")), F.lit(0)).cast("int"))
@@ -133,7 +135,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     about = F.concat_ws(":", *[F.floor(F.log2(F.col(c) + 1) * k).cast("string") for c, k in (("size", 4), ("tokens", 2), ("n", 2))])
     kind = F.when(F.col("share") > 1.0 / (shards * units), F.concat(F.hex("digest"), F.lit("/"), F.col("piece"))).otherwise(about)
-    made = materialize(single.unionByName(split).select("digest", "piece", "size", "tokens", "n", kind.alias("kind"), F.pmod(F.xxhash64("digest", "piece"), F.lit(BUCKETS)).cast("int").alias("bucket")), "shard-units")
+    made = materialize(single.unionByName(split).select("digest", "piece", "size", "tokens", "n", kind.alias("kind"), F.pmod(F.xxhash64("digest", "piece"), F.lit(BUCKETS)).cast("int").alias("bucket")), "shard-units", rows=count)
     classes = sorted(tuple(r) for r in made.groupBy("kind").agg(F.count("*").alias("m"), F.sum("size"), F.sum("tokens"), F.sum("n")).collect())
     counts = np.array([c[1] for c in classes], dtype=np.int64)
     vectors = np.array([c[2:] for c in classes], dtype=float).reshape(-1, 3) / np.maximum(counts, 1)[:, None] * shards / whole
@@ -142,7 +144,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     starts = made.groupBy("kind", "bucket").agg(F.count("*").alias("m")).select("kind", "bucket", F.coalesce(before, F.lit(0)).alias("start"))
     turn = F.row_number().over(Window.partitionBy("kind", "bucket").orderBy("digest", "piece"))
     ranked = made.withColumn("turn", turn).join(starts, ["kind", "bucket"]).withColumn("rank", F.col("start") + F.col("turn") - 1)
-    ranked = materialize(ranked.select("digest", "piece", "size", "tokens", "n", "kind", "rank"), "shard-ranked")
+    ranked = materialize(ranked.select("digest", "piece", "size", "tokens", "n", "kind", "rank"), "shard-ranked", rows=count)
 
     def placed(chosen: np.ndarray, taken: np.ndarray) -> DataFrame:
         """The units of the chosen classes with their shards."""
@@ -164,9 +166,9 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             residual[r["shard"]] -= np.array([r["size"], r["tokens"], r["n"]], dtype=float) * shards / whole
         taken[~first] = pack(vectors[~first], counts[~first], residual)
 
-    units_at = materialize(placed(np.ones(len(classes), dtype=bool), taken).select("digest", "piece", "shard"), "shard-plan")
+    units_at = materialize(placed(np.ones(len(classes), dtype=bool), taken).select("digest", "piece", "shard"), "shard-plan", rows=count)
     dealt = pieced.select("id", "row", "size", "text_crc32", "digest", "piece").join(sized(units_at, int(counts.sum()), 64), ["digest", "piece"])
-    bucketed = materialize(dealt.select("id", "row", "size", "text_crc32", "shard", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket")), "shard-placed")
+    bucketed = materialize(dealt.select("id", "row", "size", "text_crc32", "shard", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket")), "shard-placed", rows=count)
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = bucketed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
     turn = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "row"))

@@ -138,13 +138,14 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_cap: int = BUCKE
     return pairs.unionByName(verified).unionByName(stars).distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """(node, root) for every node that has a link; ``root`` is the smallest node of its component.
 
     Alternates large-star and small-star until the links no longer change. Minima are taken with
-    map-side combining, so a hub's links are never gathered in one task.
+    map-side combining, so a hub's links are never gathered in one task. ``rows``: about how many links
+    there are.
     """
-    edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", rows=rows)
     mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     before = edges.select(mark).first()[0]
     for _ in range(max_rounds):
@@ -155,7 +156,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        last, edges = edges, materialize(small.filter("u <> v").distinct(), "cc")
+        last, edges = edges, materialize(small.filter("u <> v").distinct(), "cc", rows=before[0])
         after = edges.select(mark).first()[0]
         release(last)
         if after == before:
@@ -175,10 +176,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with that id one. Null and blank texts have fingerprint zero and link like any other; an empty
     table gives an empty result.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, row_col, words), "simhash-rows", ROWS_AT_ONCE)
+    count = docs.count()
+    rows = materialize(fingerprints(docs, id_col, text_col, row_col, words), "simhash-rows", ROWS_AT_ONCE, count)
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))
-    distinct = materialize(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-fps")
-    roots = connected_components(near_links(distinct.select("fp"), bucket_cap=bucket_cap))
+    distinct = materialize(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-fps", rows=count, per_file=200_000)
+    roots = connected_components(near_links(distinct.select("fp"), bucket_cap=bucket_cap), rows=count)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("winner"))
     labels = rooted.join(winners, "root").select("fp", F.col("winner.id").alias("component_id"), F.col("winner.row").alias("kept_row"))

@@ -157,21 +157,22 @@ def _distance(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, ROUGH_WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
-def _verified(pairs: DataFrame, heads: DataFrame, slim: DataFrame, words: int, least: float) -> DataFrame:
-    """The written pairs (a, b) whose sets are similar; only the texts that they name are read again."""
+def _verified(found: DataFrame, heads: DataFrame, slim: DataFrame, words: int, least: float, rows: int) -> DataFrame:
+    """The pairs (a, b) of ``found`` whose sets are similar; only the texts that they name are read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in (2, 3))
             yield batch.select([0, 1]).filter(pa.array([jaccard(p, q) >= least for p, q in zip(x, y, strict=True)], pa.bool_()))
 
+    pairs = materialize(found, "similar-pairs", ROWS_AT_ONCE, rows)
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = materialize(heads.join(named, "key").select("row", "key"), "similar-wanted")
-    sets = materialize(_sets(slim, wanted, words), "similar-sets", ROWS_AT_ONCE)
+    wanted = materialize(heads.join(named, "key").select("row", "key"), "similar-wanted", rows=rows)
+    sets = materialize(_sets(slim, wanted, words), "similar-sets", ROWS_AT_ONCE, wanted.count(), 10_000)
     size = sets.agg(F.count("*"), F.coalesce(F.avg(F.length("shingles")), F.lit(0.0))).first()
     sets = sized(sets, size[0], 4 * int(size[1]) + 64)  # a hash table of long values takes several times their size
     a, b = (sets.select(F.col("key").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
-    return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "similar-links", ROWS_AT_ONCE)
+    return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "similar-links", ROWS_AT_ONCE, rows)
 
 
 def _fingerprints(column: pa.Array) -> np.ndarray:
@@ -197,13 +198,13 @@ def _near(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return with_both(rough, "bits").select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, bits int")
 
 
-def _met(members: DataFrame, bucket_cap: int) -> DataFrame:
+def _met(members: DataFrame, bucket_cap: int, rows: int) -> DataFrame:
     """(a, b): pairs within a bucket of ``members`` (block, key, root, bits) that lie within the Hamming
     distance and belong to different components."""
     counts = members.groupBy("block", "root").agg(F.count("*").alias("n")).groupBy("block").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
     # parts of the members of the largest component, and of the others
     parts = counts.select("block", F.col("top.root").alias("most"), F.ceil(F.col("top.n") / bucket_cap).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("top.n")) / bucket_cap).cast("int").alias("minors")).filter("minors > 0")
-    placed = members.join(materialize(parts, "similar-parts"), "block").withColumn("minor", F.col("root") != F.col("most"))
+    placed = members.join(materialize(parts, "similar-parts", rows=rows), "block").withColumn("minor", F.col("root") != F.col("most"))
     own = F.pmod(F.xxhash64("key"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
 
     def every(count: str, at: Callable[[Column], Column]) -> Column:
@@ -237,34 +238,35 @@ def _met(members: DataFrame, bucket_cap: int) -> DataFrame:
 def similar_links(distinct: DataFrame, slim: DataFrame, words: int = SHINGLE_WORDS, least: float = LEAST, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """(a, b): links between the keys of ``distinct`` (row, key, blocks, rough, bits) whose components are
     those of all similar pairs that share a block."""
+    rows = distinct.count()
     filed = distinct.filter(F.col("key") != _key(np.zeros(0, np.uint64))).select("key", F.explode("blocks").alias("block"))
     heads = distinct.select("row", "key", "rough", "bits")
     # the keys are hashes, so the least of key XOR a hash of the block names a random member
     drawn = F.min(F.col("key").bitwiseXOR(F.xxhash64("block")))
     buckets = filed.groupBy("block").agg(F.count("*").alias("n"), drawn.alias("drawn")).filter("n > 1").select("block", "n", F.col("drawn").bitwiseXOR(F.xxhash64("block")).alias("centre"))
-    members = materialize(filed.join(materialize(buckets, "similar-buckets"), "block"), "similar-members")
+    members = materialize(filed.join(materialize(buckets, "similar-buckets", rows=rows), "block"), "similar-members", rows=5 * rows)
     met = members.filter("key <> centre").select(F.greatest("key", "centre").alias("a"), F.least("key", "centre").alias("b")).distinct()
-    near = materialize(_near(met, heads), "similar-near", 16 * ROWS_AT_ONCE)
+    near = materialize(_near(met, heads), "similar-near", 16 * ROWS_AT_ONCE, rows)
 
     def apart(links: DataFrame) -> DataFrame:
         """The near pairs between different components."""
-        roots = materialize(connected_components(links), "similar-roots")
+        roots = materialize(connected_components(links, rows=rows), "similar-roots", rows=rows)
         both = near.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
         both = both.withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b"))
         return both.filter("root_a <> root_b")
 
     ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.struct("bits", "a", "b").alias("p")), F.struct(F.col("b").alias("key"), F.struct("bits", "a", "b").alias("p")))).alias("e"))
     nearest = ends.groupBy("e.key").agg(F.min("e.p").alias("p")).select("p.a", "p.b").distinct()
-    links = _verified(materialize(nearest, "similar-nearest"), heads, slim, words, least)
+    links = _verified(nearest, heads, slim, words, least, rows)
     between = apart(links).groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b")
-    links = links.unionByName(_verified(materialize(between, "similar-between"), heads, slim, words, least))
+    links = links.unionByName(_verified(between, heads, slim, words, least, rows))
 
-    roots = connected_components(links).toDF("key", "root")
-    labelled = materialize(members.filter("n > 2").join(roots, "key", "left").select("block", "key", F.coalesce("root", "key").alias("root")), "similar-labelled")
+    roots = connected_components(links, rows=rows).toDF("key", "root")
+    labelled = materialize(members.filter("n > 2").join(roots, "key", "left").select("block", "key", F.coalesce("root", "key").alias("root")), "similar-labelled", rows=5 * rows)
     open_ = labelled.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("block")
-    held = materialize(labelled.join(open_, "block").join(heads.select("key", "bits"), "key"), "similar-open")
-    rest = _met(held, bucket_cap).unionByName(apart(links).select("a", "b")).distinct()  # buckets of two hold their centre's pair alone
-    return links.unionByName(_verified(materialize(rest, "similar-rest", ROWS_AT_ONCE), heads, slim, words, least))
+    held = materialize(labelled.join(open_, "block").join(heads.select("key", "bits"), "key"), "similar-open", rows=rows, per_file=50_000)
+    rest = _met(held, bucket_cap, rows).unionByName(apart(links).select("a", "b")).distinct()  # buckets of two hold their centre's pair alone
+    return links.unionByName(_verified(rest, heads, slim, words, least, rows))
 
 
 def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = SHINGLE_WORDS, least: float = LEAST, bucket_cap: int = BUCKET_CAP) -> DataFrame:
@@ -278,11 +280,12 @@ def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     slim = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text_col).cast("binary").alias("text"))
-    rows = materialize(_keyed(slim, words), "similar-rows", ROWS_AT_ONCE)
+    count = docs.count()
+    rows = materialize(_keyed(slim, words), "similar-rows", ROWS_AT_ONCE, count, 50_000)
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))
-    winners = materialize(rows.groupBy("key").agg(F.min(first).alias("first")), "similar-keys")
-    distinct = materialize(rows.join(winners.select("key", F.col("first.row").alias("row")), ["key", "row"], "left_semi").select("row", "key", "blocks", "rough", "bits"), "similar-distinct")
-    roots = connected_components(similar_links(distinct, slim, words, least, bucket_cap))
+    winners = materialize(rows.groupBy("key").agg(F.min(first).alias("first")), "similar-keys", rows=count)
+    distinct = materialize(rows.join(winners.select("key", F.col("first.row").alias("row")), ["key", "row"], "left_semi").select("row", "key", "blocks", "rough", "bits"), "similar-distinct", rows=count, per_file=20_000)
+    roots = connected_components(similar_links(distinct, slim, words, least, bucket_cap), rows=count)
     rooted = winners.join(roots, winners["key"] == roots["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("winner"))
     labels = rooted.join(best, "root").select("key", F.col("winner.id").alias("component_id"), F.col("winner.row").alias("kept_row"))
