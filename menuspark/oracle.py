@@ -492,7 +492,7 @@ _SQL |= {
     "topic_examples": _with(_BROWSE, """, named AS (SELECT h.topic_id, c.dish_name, c.identity, unnest(string_split(c.restaurant_examples, ',')) AS restaurant, generate_subscripts(string_split(c.restaurant_examples, ','), 1) AS nth
             FROM topic_hits h JOIN catalogue c USING (identity) WHERE h.score = (SELECT max(score) FROM topic_hits x WHERE x.topic_id = h.topic_id)),
         turns AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY lower(dish_name), identity, nth) AS turn FROM named),
-        firsts AS (SELECT topic_id, restaurant, min(turn) AS turn FROM turns GROUP BY ALL), two AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY turn) AS place FROM firsts)
+        firsts AS (SELECT topic_id, restaurant, min(turn) AS turn FROM turns GROUP BY ALL), two AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY turn) AS place FROM ownfirsts)
         SELECT topic_id, string_agg(restaurant, ',' ORDER BY turn) AS examples FROM two WHERE place <= 2 GROUP BY topic_id"""),
     "topic_preview": "WITH ranked AS (" + _SQL["topic_ranking"] + """),
         listed AS (SELECT *, list_position(['south', 'east', 'north'], area) AS area_place FROM ranked WHERE place <= 2),
