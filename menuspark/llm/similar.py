@@ -10,8 +10,8 @@ module runs the same method with longer fingerprints:
    differ in fewer than ``BLOCKS`` bits do; of other pairs, one of bit agreement p is missed with
    probability ``(1 - p ** BLOCK_BITS) ** BLOCKS``: 0.07 at a similarity of exactly 0.8, 0.01 at
    0.85 and 10 ** -5 at 0.9.
-3. In each bucket one random member is the centre, and every member is compared with it by Hamming
-   distance. Of the pairs that are near enough, the nearest of each fingerprint, then the nearest of
+3. A bucket of two is a pair. In the larger buckets of the first ``CENTRE_BLOCKS`` places one random
+   member is the centre of the others. All these pairs are compared by Hamming distance. Of the pairs that are near enough, the nearest of each fingerprint, then the nearest of
    each two components, are checked by the exact similarity of their sets. This is linear, and joins
    all but a few members of a large family.
 4. Buckets that still hold several components are compared in full: pairs of different components
@@ -49,6 +49,7 @@ MOST_BITS = 361
 #: similarity of 0.8 that distance is 39 on average, with a deviation of 5.7.
 ROUGH_WORDS = 4
 ROUGH_BITS = 64
+CENTRE_BLOCKS = 24
 BUCKET_CAP = 4096
 #: Rows of whole texts or sets that one Arrow batch holds.
 ROWS_AT_ONCE = 256
@@ -242,10 +243,12 @@ def similar_links(distinct: DataFrame, slim: DataFrame, words: int = SHINGLE_WOR
     filed = distinct.filter(F.col("key") != _key(np.zeros(0, np.uint64))).select("key", F.explode("blocks").alias("block"))
     heads = distinct.select("row", "key", "rough", "bits")
     # the keys are hashes, so the least of key XOR a hash of the block names a random member
-    drawn = F.min(F.col("key").bitwiseXOR(F.xxhash64("block")))
-    buckets = filed.groupBy("block").agg(F.count("*").alias("n"), drawn.alias("drawn")).filter("n > 1").select("block", "n", F.col("drawn").bitwiseXOR(F.xxhash64("block")).alias("centre"))
-    members = materialize(filed.join(materialize(buckets, "similar-buckets", rows=rows), "block"), "similar-members", rows=5 * rows)
-    met = members.filter("key <> centre").select(F.greatest("key", "centre").alias("a"), F.least("key", "centre").alias("b")).distinct()
+    turned, turn = F.col("key").bitwiseXOR(F.xxhash64("block")), F.xxhash64("block")
+    buckets = filed.groupBy("block").agg(F.count("*").alias("n"), F.min(turned).alias("least"), F.max(turned).alias("most")).filter("n > 1")
+    buckets = materialize(buckets.select("block", "n", F.col("least").bitwiseXOR(turn).alias("centre"), F.col("most").bitwiseXOR(turn).alias("other")), "similar-buckets", rows=rows)
+    members = materialize(filed.join(buckets.filter("n > 2").select("block", "centre"), "block"), "similar-members", rows=rows)
+    around = members.filter((F.col("key") != F.col("centre")) & (F.shiftright("block", BLOCK_BITS) < CENTRE_BLOCKS)).select("key", "centre")
+    met = buckets.filter("n = 2").select("centre", "other").union(around).select(F.greatest("centre", "other").alias("a"), F.least("centre", "other").alias("b")).distinct()
     near = materialize(_near(met, heads), "similar-near", 16 * ROWS_AT_ONCE, rows)
 
     def apart(links: DataFrame) -> DataFrame:
@@ -262,10 +265,10 @@ def similar_links(distinct: DataFrame, slim: DataFrame, words: int = SHINGLE_WOR
     links = links.unionByName(_verified(between, heads, slim, words, least, rows))
 
     roots = connected_components(links, rows=rows).toDF("key", "root")
-    labelled = materialize(members.filter("n > 2").join(roots, "key", "left").select("block", "key", F.coalesce("root", "key").alias("root")), "similar-labelled", rows=5 * rows)
+    labelled = materialize(members.join(roots, "key", "left").select("block", "key", F.coalesce("root", "key").alias("root")), "similar-labelled", rows=rows)
     open_ = labelled.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("block")
     held = materialize(labelled.join(open_, "block").join(heads.select("key", "bits"), "key"), "similar-open", rows=rows, per_file=50_000)
-    rest = _met(held, bucket_cap, rows).unionByName(apart(links).select("a", "b")).distinct()  # buckets of two hold their centre's pair alone
+    rest = _met(held, bucket_cap, rows).unionByName(apart(links).select("a", "b")).distinct()  # and the pairs of buckets of two
     return links.unionByName(_verified(rest, heads, slim, words, least, rows))
 
 
