@@ -492,7 +492,7 @@ _SQL |= {
     "topic_examples": _with(_BROWSE, """, named AS (SELECT h.topic_id, c.dish_name, c.identity, unnest(string_split(c.restaurant_examples, ',')) AS restaurant, generate_subscripts(string_split(c.restaurant_examples, ','), 1) AS nth
             FROM topic_hits h JOIN catalogue c USING (identity) WHERE h.score = (SELECT max(score) FROM topic_hits x WHERE x.topic_id = h.topic_id)),
         turns AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY lower(dish_name), identity, nth) AS turn FROM named),
-        firsts AS (SELECT topic_id, restaurant, min(turn) AS turn FROM turns GROUP BY ALL), two AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY turn) AS place FROM ownfirsts)
+        listed AS (SELECT topic_id, restaurant, min(turn) AS turn FROM turns GROUP BY ALL), two AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY turn) AS place FROM listed)
         SELECT topic_id, string_agg(restaurant, ',' ORDER BY turn) AS examples FROM two WHERE place <= 2 GROUP BY topic_id"""),
     "topic_preview": "WITH ranked AS (" + _SQL["topic_ranking"] + """),
         listed AS (SELECT *, list_position(['south', 'east', 'north'], area) AS area_place FROM ranked WHERE place <= 2),
@@ -536,6 +536,28 @@ _SQL |= {
         FROM newest JOIN dishes USING (snapshot_id) JOIN menu_sources USING (source_id)""",
 }
 
+# Pages that show each snapshot's dishes in the order of their names; n is how many there are.
+_PLACED = _DISHES + """, placed AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY name) - 1 AS i, count(*) OVER (PARTITION BY snapshot_id) AS n FROM dishes),
+fit AS (SELECT *, count(*) OVER (PARTITION BY snapshot_id) AS m FROM placed WHERE name <> 'small plate')
+"""
+_SQL |= {
+    "extracted_embedded": f"{_PLACED} SELECT snapshot_id, name, ['Mains', 'Rice'][i % 3 + 1] AS section, kr * 100 AS price_minor, 'api' AS method FROM (SELECT *, count(*) OVER (PARTITION BY snapshot_id) AS food FROM placed WHERE i % 3 < 2) WHERE food >= 4",
+    "extracted_cards": f"{_PLACED} SELECT snapshot_id, name, ['Mains', 'Rice'][i % 3 + 1] AS section, kr * 100 AS price_minor FROM (SELECT *, count(*) OVER (PARTITION BY snapshot_id) AS food FROM placed WHERE i % 3 < 2) WHERE food >= 4",
+    "extracted_headings": f"{_PLACED}, food AS (SELECT *, count(*) OVER (PARTITION BY snapshot_id) AS f FROM placed WHERE i % 2 = 0 AND name <> 'small plate') SELECT snapshot_id, name, kr * 100 AS price_minor FROM food WHERE f >= 4",
+    "extracted_wrapped": f"{_PLACED} SELECT snapshot_id, name, 'Served with rice and salad.' AS description, kr * 100 AS price_minor FROM fit WHERE m >= 3",
+    "extracted_marked": f"{_PLACED} SELECT snapshot_id, name, kr * 100 AS price_minor, 0.97::DOUBLE AS confidence FROM fit WHERE m >= 3",
+    "extracted_from": f"{_PLACED} SELECT snapshot_id, name, kr * 100 AS price_minor, 'from' AS price_kind FROM fit",
+    "extracted_first_cards": f"{_PLACED} SELECT snapshot_id, name, kr * 100 AS price_minor FROM placed WHERE i < 3 AND name <> 'small plate'",
+    "extracted_shared": f"{_PLACED} SELECT snapshot_id, upper(name) AS name, 'Platter of the house' AS section, 'with rice, salad and sauce' AS description, 25000 AS price_minor FROM placed WHERE n >= 2",
+    "extracted_numbered": f"{_PLACED} SELECT snapshot_id, name, 'Served with rice.' AS description, kr * 100 AS price_minor FROM placed WHERE n >= 2",
+    "extracted_trailing": f"{_PLACED} SELECT snapshot_id, name, kr * 100 AS price_minor, 0.95::DOUBLE AS confidence FROM fit WHERE m >= 4",
+    "extracted_printed_rows": f"{_PLACED} SELECT snapshot_id, name, kr * 100 AS price_minor, 0.86::DOUBLE AS confidence FROM placed UNION ALL SELECT DISTINCT snapshot_id, 'House cake', 8500, 0.86 FROM placed",
+    "extracted_kitchen_hours": _with(""", k AS (SELECT hours_snapshot_id AS id, (600 + (hours_snapshot_id % 4) * 60)::INTEGER AS o, (1200 + (hours_snapshot_id % 3) * 60)::INTEGER AS c, hours_snapshot_id % 4 AS way FROM hours_snapshots),
+        w AS (SELECT k.*, d FROM k, (VALUES (1), (2), (3), (4), (6), (7)) AS t(d) WHERE way <> 3)
+        SELECT id AS hours_snapshot_id, d::INTEGER AS iso_weekday, CASE WHEN d >= 6 THEN o + 60 ELSE o END AS opens, CASE way WHEN 0 THEN c - 30 WHEN 1 THEN least(c, 1170) ELSE c END AS closes, '' AS error FROM w
+        UNION ALL SELECT id, 0, -1, -1, 'AMBIGUOUS_RELATIVE_KITCHEN_CUTOFF' FROM k WHERE way = 3"""),
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from menuspark.extract import html as html_text
@@ -800,6 +800,143 @@ def extracted_hours(d):
     return hours_text.extract_hours(html, "hours_snapshot_id", "html").select("hours_snapshot_id", "iso_weekday", "opens", "closes", "next_day")
 
 
+def _written(d, row, before: str = "", after: str = "") -> DataFrame:
+    """(snapshot_id, html): a page for each snapshot, its dishes in the order of their names, each written by
+    ``row`` of (dish, place)."""
+    listed = _dishes(d).groupBy("snapshot_id").agg(F.sort_array(F.collect_list(F.struct("name", "kr"))).alias("dishes"))
+    body = F.array_join(F.transform("dishes", row), "")
+    return _spread(listed.select("snapshot_id", F.concat(F.lit(f"<html><body>{before}"), body, F.lit(f"{after}</body></html>")).alias("html")))
+
+
+def _read(pages: DataFrame, reading) -> DataFrame:
+    """The items that one reading finds in pages."""
+    return menu.extract_items(pages, "snapshot_id", "html", lambda html: reading(menu.Page(html)))
+
+
+def _sections(labels: tuple[str, ...], open_: str, row, close: str = "") -> Column:
+    """Sections in turn, each with the dishes whose place falls to it."""
+
+    def section(at: int, label: str) -> Column:
+        own = F.filter(F.transform("dishes", lambda x, i: F.struct(x["name"].alias("name"), x["kr"].alias("kr"), i.alias("i"))), lambda x: x["i"] % len(labels) == at)
+        return F.when(F.size(own) > 0, F.concat(F.lit(open_.format(label)), F.array_join(F.transform(own, row), ""), F.lit(close))).otherwise("")
+
+    return F.concat(*[section(at, label) for at, label in enumerate(labels)])
+
+
+def _sectioned(d, labels: tuple[str, ...], open_: str, row, close: str = "", before: str = "", after: str = "") -> DataFrame:
+    listed = _dishes(d).groupBy("snapshot_id").agg(F.sort_array(F.collect_list(F.struct("name", "kr"))).alias("dishes"))
+    return _spread(listed.select("snapshot_id", F.concat(F.lit(f"<html><body>{before}"), _sections(labels, open_, row, close), F.lit(f"{after}</body></html>")).alias("html")))
+
+
+def _kr(x: Column, form: str) -> Column:
+    return F.format_string(form, x["kr"])
+
+
+@query
+def extracted_embedded(d):
+    """An application's JSON: categories that list ids, one of them of drinks."""
+    listed = _dishes(d).groupBy("snapshot_id").agg(F.sort_array(F.collect_list(F.struct("name", "kr"))).alias("dishes"))
+    labels = ("Mains", "Rice", "Drinks")
+
+    def ids(at: int) -> Column:
+        return F.array_join(F.filter(F.transform("dishes", lambda x, i: F.when(i % 3 == at, i)), lambda i: i.isNotNull()).cast("array<string>"), ",")
+
+    groups = F.concat_ws(",", *[F.concat(F.lit(f'{{"name":"{label}","item_ids":['), ids(at), F.lit("]}")) for at, label in enumerate(labels)])
+    rows = F.array_join(F.transform("dishes", lambda x, i: F.concat(F.lit('{"id":'), i.cast("string"), F.lit(',"name":"'), x["name"], F.lit('","price":'), (x["kr"] * 100).cast("string"), F.lit("}"))), ",")
+    html = F.concat(F.lit('<html><body><script type="application/json">{"state":{"menu":{"categories":['), groups, F.lit('],"items":['), rows, F.lit("]}}}</script></body></html>"))
+    return _read(_spread(listed.select("snapshot_id", html.alias("html"))), menu.embedded_items).select("snapshot_id", "name", "section", "price_minor", "method")
+
+
+@query
+def extracted_cards(d):
+    """Product cards under category sections, a struck-out price beside the price."""
+    card = lambda x: F.concat(F.lit('<div data-testid="menu-product"><h3 data-testid="menu-product-name">'), x["name"], F.lit('</h3><span data-testid="menu-product-price"><s data-testid="menu-product-price-before-discount">999 kr</s>'), _kr(x, "%d kr"), F.lit("</span></div>"))
+    pages = _sectioned(d, ("Mains", "Rice", "Drinks"), '<section data-testid="menu-category-section"><h2 data-testid="menu-category-section-title">{}</h2>', card, "</section>")
+    return _read(pages, menu.card_items).select("snapshot_id", "name", "section", "price_minor")
+
+
+@query
+def extracted_headings(d):
+    """Headings with a price below, under a food heading and a drink heading."""
+    row = lambda x: F.concat(F.lit("<h3>"), x["name"], F.lit("</h3><p>"), _kr(x, "%d,-"), F.lit("</p>"))
+    return _read(_sectioned(d, ("Mains", "Drinks"), "<h2>{}</h2>", row), menu.heading_items).select("snapshot_id", "name", "price_minor")
+
+
+@query
+def extracted_wrapped(d):
+    """Names between two equal prices."""
+    row = lambda x: F.concat(_kr(x, "<p>%d,-</p><p>"), x["name"], F.lit("</p><p>Served with rice and salad.</p>"), _kr(x, "<p>%d,-</p>"))
+    return _read(_written(d, row), menu.wrapped_items).select("snapshot_id", "name", "description", "price_minor")
+
+
+@query
+def extracted_marked(d):
+    row = lambda x: F.concat(F.lit("<p>"), x["name"], _kr(x, " kr %d,-</p>"))
+    return _read(_written(d, row), menu.marked_items).select("snapshot_id", "name", "price_minor", "confidence")
+
+
+@query
+def extracted_from(d):
+    """Prices that say from, beside the name or below it."""
+    row = lambda x: F.when(x["kr"] % 2 == 0, F.concat(F.lit("<p>"), x["name"], _kr(x, " fra %d,-</p>"))).otherwise(F.concat(F.lit("<p>"), x["name"], _kr(x, "</p><p>from %d kr</p>")))
+    return _read(_written(d, row), menu.from_items).select("snapshot_id", "name", "price_minor", "price_kind")
+
+
+@query
+def extracted_first_cards(d):
+    """The first name of each section that has a price."""
+    row = lambda x: F.concat(F.lit("<p>"), x["name"], _kr(x, "</p><p>%d,-</p>"))
+    return _read(_sectioned(d, ("Starters", "Main courses", "Desserts (3)"), "<p>{}</p>", row), menu.first_cards).select("snapshot_id", "name", "price_minor")
+
+
+@query
+def extracted_shared(d):
+    """One price for a section of names in capitals."""
+    row = lambda x: F.concat(F.lit("<p>"), F.upper(x["name"]), F.lit("</p><p>with rice, salad and sauce</p>"))
+    reading = lambda page: [i for own in menu.shared_sections(page.lines).values() for i in own]
+    return _read(_written(d, row, "<p>Platter of the house 250,-</p>", "<p>Contact</p>"), reading).select("snapshot_id", "name", "section", "description", "price_minor")
+
+
+@query
+def extracted_numbered(d):
+    """Numbered titles with descriptions and prices below."""
+    row = lambda x, i: F.concat(F.lit("<h4>"), (i + 1).cast("string"), F.lit(". "), x["name"], _kr(x, "</h4><p>Served with rice.</p><p>%d,-</p>"))
+    return _read(_written(d, row), lambda page: menu.numbered_items(page.annotated)).select("snapshot_id", "name", "description", "price_minor")
+
+
+@query
+def extracted_trailing(d):
+    """Prices that close a card some lines below its title."""
+    row = lambda x: F.concat(F.lit("<p>"), x["name"], _kr(x, "</p><p>Served with rice and salad.</p><p>%d,-</p>"))
+    return _read(_written(d, row), menu.trailing_items).select("snapshot_id", "name", "price_minor", "confidence")
+
+
+@query
+def extracted_printed_rows(d):
+    """Printed lines: two numbered dishes side by side or one, a price on its own line, a section of drinks."""
+    listed = _dishes(d).groupBy("snapshot_id").agg(F.sort_array(F.collect_list(F.struct("name", "kr"))).alias("dishes"))
+    row = lambda x, i: F.when(i % 4 < 2, F.concat((i + 1).cast("string"), F.lit(". "), x["name"], _kr(x, " %d"), F.when(i % 4 == 0, " ").otherwise("\n"))).otherwise(F.concat(F.lit("\n"), x["name"], _kr(x, " A, G\nkr %d,-\n")))
+    text_ = F.concat(F.lit("HOVEDRETTER\n"), F.array_join(F.transform("dishes", row), ""), F.lit("\nDrikke\nHouse red 95\nDessert\nHouse cake 85"))
+    pages = _spread(listed.select("snapshot_id", text_.alias("html")))
+    finder = lambda text: printed.scoped_items((text or "").split("\n"))
+    return menu.extract_items(pages, "snapshot_id", "html", finder).select("snapshot_id", "name", "price_minor", "confidence")
+
+
+@query
+def extracted_kitchen_hours(d):
+    """Hours whose kitchen closes so many minutes before, at one clock, as advertised, or in two ways at once."""
+    key = F.col("hours_snapshot_id")
+    opens, closes = 600 + (key % 4) * 60, 1200 + (key % 3) * 60
+
+    def clock_text(c: Column) -> Column:
+        return F.format_string("%02d:%02d", (c / 60).cast("int"), (c % 60).cast("int"))
+
+    week = F.concat(F.lit("<p>Monday - Thursday "), clock_text(opens), F.lit(" - "), clock_text(closes), F.lit("</p><p>Saturday and Sunday "), clock_text(opens + 60), F.lit(" - "), clock_text(closes), F.lit("</p>"))
+    rule = F.when(key % 4 == 0, "<p>Kitchen closes 30 minutes before closing.</p>").when(key % 4 == 1, "<p>Kitchen closes at 19:30</p>").when(key % 4 == 3, "<p>Kitchen closes 30 minutes before closing. Kitchen closes at 19:30</p>").otherwise("")
+    pages = d.hours_snapshots.select("hours_snapshot_id", F.concat(F.lit("<html><body>"), week, rule, F.lit("</body></html>")).alias("html"))
+    return hours_text.extract_hours(pages, "hours_snapshot_id", "html").select("hours_snapshot_id", F.coalesce("iso_weekday", F.lit(0)).alias("iso_weekday"), F.coalesce("opens", F.lit(-1)).alias("opens"), F.coalesce("closes", F.lit(-1)).alias("closes"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 @query
 def menu_watch_outcomes(d):
     """A watch pass over the latest page of every source, none of which was seen before."""
