@@ -51,3 +51,27 @@ def test_a_lost_race_leaves_one_batch(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "committed", lambda _: False)  # as seen before the other writer's rename
     assert not store.commit("in", rollups.inserts(df))
     assert totals(store) == {("a", "en", "v"): (1, 4)}
+
+
+def test_compaction_keeps_totals_and_ids(spark, tmp_path):
+    rng = random.Random(3)
+    store = rollups.RollupStore(spark, str(tmp_path / "c"))
+    assert not store.compact()
+    for turn in range(3):
+        for n in range(3):
+            rows = [(rng.choice(["a", None]), "en", "v", rng.randrange(9), 0) for _ in range(20)]
+            assert store.commit(f"b{turn}-{n}", rollups.inserts(spark.createDataFrame(rows, SCHEMA)))
+        before = totals(store)
+        assert store.compact() and not store.compact()
+        assert totals(store) == before and store._names("batches") == []
+        assert not store.commit(f"b{turn}-1", rollups.inserts(spark.createDataFrame(rows, SCHEMA))) and totals(store) == before
+
+
+def test_one_id_with_other_content_is_told(spark, tmp_path):
+    df = spark.createDataFrame([("a", "en", "v", 4, 4, "x", 1)], SCHEMA + ", documents string, d int")  # extra columns may have any name
+    store = rollups.RollupStore(spark, str(tmp_path / "v"))
+    store.commit("in", rollups.inserts(df))
+    assert not store.commit("in", rollups.inserts(df), verify=True)
+    with pytest.raises(ValueError, match="other content"):
+        store.commit("in", rollups.inserts(df.unionAll(df)), verify=True)
+    assert totals(store) == {("a", "en", "v"): (1, 4)}
