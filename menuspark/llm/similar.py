@@ -199,13 +199,14 @@ def _near(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return with_both(rough, "bits").select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, bits int")
 
 
-def _met(members: DataFrame, bucket_cap: int, rows: int) -> DataFrame:
-    """(a, b): pairs within a bucket of ``members`` (block, key, root, bits) that lie within the Hamming
-    distance and belong to different components."""
+def _met(members: DataFrame, heads: DataFrame, bucket_cap: int, rows: int) -> DataFrame:
+    """(a, b): pairs within a bucket of ``members`` (block, key, root) that lie within the Hamming distance
+    and belong to different components. Buckets of one component go before the fingerprints join."""
     counts = members.groupBy("block", "root").agg(F.count("*").alias("n")).groupBy("block").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
     # parts of the members of the largest component, and of the others
     parts = counts.select("block", F.col("top.root").alias("most"), F.ceil(F.col("top.n") / bucket_cap).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("top.n")) / bucket_cap).cast("int").alias("minors")).filter("minors > 0")
-    placed = members.join(materialize(parts, "similar-parts", rows=rows), "block").withColumn("minor", F.col("root") != F.col("most"))
+    open_ = members.join(materialize(parts, "similar-parts", rows=rows), "block")
+    placed = open_.join(heads.select("key", "bits"), "key").withColumn("minor", F.col("root") != F.col("most"))
     own = F.pmod(F.xxhash64("key"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
 
     def every(count: str, at: Callable[[Column], Column]) -> Column:
@@ -246,8 +247,10 @@ def similar_links(distinct: DataFrame, slim: DataFrame, words: int = SHINGLE_WOR
     turned, turn = F.col("key").bitwiseXOR(F.xxhash64("block")), F.xxhash64("block")
     buckets = filed.groupBy("block").agg(F.count("*").alias("n"), F.min(turned).alias("least"), F.max(turned).alias("most")).filter("n > 1")
     buckets = materialize(buckets.select("block", "n", F.col("least").bitwiseXOR(turn).alias("centre"), F.col("most").bitwiseXOR(turn).alias("other")), "similar-buckets", rows=rows)
-    members = materialize(filed.join(buckets.filter("n > 2").select("block", "centre"), "block"), "similar-members", rows=rows)
-    around = members.filter((F.col("key") != F.col("centre")) & (F.shiftright("block", BLOCK_BITS) < CENTRE_BLOCKS)).select("key", "centre")
+    larger = buckets.filter("n > 2")
+    members = materialize(filed.join(larger, "block", "left_semi"), "similar-members", rows=rows)
+    first = members.filter(F.shiftright("block", BLOCK_BITS) < CENTRE_BLOCKS)
+    around = first.join(larger.select("block", "centre"), "block").filter("key <> centre").select("key", "centre")
     met = buckets.filter("n = 2").select("centre", "other").union(around).select(F.greatest("centre", "other").alias("a"), F.least("centre", "other").alias("b")).distinct()
     near = materialize(_near(met, heads), "similar-near", 16 * ROWS_AT_ONCE, rows)
 
@@ -266,9 +269,7 @@ def similar_links(distinct: DataFrame, slim: DataFrame, words: int = SHINGLE_WOR
 
     roots = connected_components(links, rows=rows).toDF("key", "root")
     labelled = materialize(members.join(roots, "key", "left").select("block", "key", F.coalesce("root", "key").alias("root")), "similar-labelled", rows=rows)
-    open_ = labelled.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("block")
-    held = materialize(labelled.join(open_, "block").join(heads.select("key", "bits"), "key"), "similar-open", rows=rows, per_file=50_000)
-    rest = _met(held, bucket_cap, rows).unionByName(apart(links).select("a", "b")).distinct()  # and the pairs of buckets of two
+    rest = _met(labelled, heads, bucket_cap, rows).unionByName(apart(links).select("a", "b")).distinct()  # and the pairs of buckets of two
     return links.unionByName(_verified(rest, heads, slim, words, least, rows))
 
 
