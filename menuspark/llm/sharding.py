@@ -167,7 +167,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         taken[~first] = pack(vectors[~first], counts[~first], residual)
 
     units_at = materialize(placed(np.ones(len(classes), dtype=bool), taken).select("digest", "piece", "shard"), "shard-plan", rows=count)
-    dealt = pieced.select("id", "row", "size", "text_crc32", "digest", "piece").join(sized(units_at, int(counts.sum()), 64), ["digest", "piece"])
+    dealt = pieced.select("id", "row", "size", "text_crc32", "digest", "piece").join(sized(units_at, int(counts.sum()), 160), ["digest", "piece"])
     bucketed = materialize(dealt.select("id", "row", "size", "text_crc32", "shard", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket")), "shard-placed", rows=count)
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = bucketed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))

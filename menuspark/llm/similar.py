@@ -150,7 +150,7 @@ def _sets(slim: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 raise RuntimeError("row numbers changed between two readings of the documents")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in own], pa.binary())], names=["key", "shingles"])
 
-    return slim.join(sized(wanted, wanted.count(), 32), "row").select("key", "text").mapInArrow(run, "key long, shingles binary")
+    return slim.join(sized(wanted, wanted.count(), 64), "row").select("key", "text").mapInArrow(run, "key long, shingles binary")
 
 
 def _distance(a: str, b: str) -> Column:

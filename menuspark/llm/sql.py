@@ -31,6 +31,12 @@ _SQL = {
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 20""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT *, sha1(payload) AS hex, row_number() OVER (PARTITION BY payload ORDER BY page_id) AS turn, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+        SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4 * 5 + 1)::INTEGER, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), '') AS payload_digest,
+            CASE WHEN turn = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN turn > 1 THEN first END AS refers_to FROM d""",
 }
 
 

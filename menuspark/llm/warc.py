@@ -189,7 +189,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     narrow = source.filter(F.octet_length("payload") >= revisit_least).select("digest", F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row").alias("at"))
     groups = narrow.groupBy("digest").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1")
     copied = materialize(groups.select("digest", "n", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row")), "warc-copied")
-    marked = source.join(sized(copied, copied.count(), 80), "digest", "left").select("page_id", "url", "payload", "row", "first_id", "first_row")
+    marked = source.join(sized(copied, copied.count(), 160), "digest", "left").select("page_id", "url", "payload", "row", "first_id", "first_row")
 
     fs, root = hadoop_path(spark, folder)
     fs.mkdirs(root)
