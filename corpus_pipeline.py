@@ -28,7 +28,7 @@ def _without(docs: DataFrame, dropped: DataFrame, tag: str) -> DataFrame:
     """``docs`` (numbered) without the rows named by ``dropped``, in the columns that docs had. The
     dropped rows are broadcast only if their measured number is small."""
     dropped = materialize(dropped.select(F.col("row").alias(ROW)), tag, rows=docs.count())
-    return docs.join(sized(dropped, dropped.count(), 16), ROW, "left_anti").drop(ROW)
+    return docs.join(sized(dropped, dropped.count(), 64), ROW, "left_anti").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rows = _numbered(docs)
     mixed = mixing.mix(rows, row_col=ROW).filter("taken > 0")
     taken = materialize(mixed.select(F.col("row").alias(ROW), F.expr("cast(taken div size as int)").alias("__menuspark_times")), "pipeline-mix", rows=docs.count())
-    joined = rows.join(sized(taken, taken.count(), 24), ROW)
+    joined = rows.join(sized(taken, taken.count(), 64), ROW)
     return joined.withColumn("__menuspark_copy", F.explode(F.sequence(F.lit(1), F.col("__menuspark_times")))).select(*docs.columns)
 
 
