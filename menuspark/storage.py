@@ -125,5 +125,6 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Mark ``df`` for broadcast if its measured size is small; else leave the join to shuffle."""
+    """Mark ``df`` for broadcast if its measured size is small; else leave the join to shuffle.
+    ``row_bytes`` is what a row takes in a hash table, not in a file."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
