@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: A side of at most this many bytes (rows x row width, both measured) may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Narrow rows to a written file.
-FILE_ROWS = 1_000_000
+FILE_ROWS = 200_000
 #: Bytes of an Arrow batch of whole texts; one longer text is a batch of its own.
 BATCH_BYTES = 8 << 20
 
