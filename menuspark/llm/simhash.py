@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from menuspark.storage import materialize, release
+from menuspark.storage import materialize, release, sized
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -168,6 +168,20 @@ def connected_components(links: DataFrame, max_rounds: int = 60, rows: int | Non
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def joined_components(roots: DataFrame, links: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root) over ``links`` and the links that ``roots`` (node, root) came from. The rounds go through
+    ``links`` alone, between the roots of their ends."""
+    for end in "ab":
+        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias("own")), end, "left").withColumn(end, F.coalesce("own", end)).drop("own")
+    joined = connected_components(links.select("a", "b"), rows=rows)
+    count = joined.count()
+    if not count:
+        return roots
+    moved = sized(joined.select(F.col("node").alias("root"), F.col("root").alias("lesser")), count, 64)
+    all_ = roots.join(moved, "root", "left").select("node", F.coalesce("lesser", "root").alias("root"))
+    return materialize(all_.unionByName(joined.join(roots, "node", "left_anti")), "cc-joined", rows=rows)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = SHINGLE_WORDS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """(id, row, fp, component_id, kept) for every row of ``docs``.
 

@@ -18,7 +18,8 @@ module runs the same method with longer fingerprints:
    within the Hamming distance are checked exactly. The members of a bucket's largest component are
    never compared with one another; they are cut into parts of at most ``bucket_cap``, and the other
    members, which are few, meet every part.
-5. Components by the star rounds of ``simhash.connected_components`` over all links.
+5. Components by the star rounds of ``simhash.connected_components`` over the first links. The links found
+   later join them by rounds over themselves alone (``simhash.joined_components``).
 
 A bucket of chance holds rows / 2 ** BLOCK_BITS fingerprints, which is 3 at ten million texts; for
 far more texts take longer and more blocks.
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from menuspark.llm.simhash import HASH_SEED, connected_components
+from menuspark.llm.simhash import HASH_SEED, connected_components, joined_components
 from menuspark.storage import materialize, sized
 
 SHINGLE_WORDS = 5
@@ -167,6 +168,8 @@ def _verified(found: DataFrame, heads: DataFrame, slim: DataFrame, words: int, l
             yield batch.select([0, 1]).filter(pa.array([jaccard(p, q) >= least for p, q in zip(x, y, strict=True)], pa.bool_()))
 
     pairs = materialize(found, "similar-pairs", ROWS_AT_ONCE, rows)
+    if pairs.isEmpty():
+        return pairs
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = materialize(heads.join(named, "key").select("row", "key"), "similar-wanted", rows=rows)
     sets = materialize(_sets(slim, wanted, words), "similar-sets", ROWS_AT_ONCE, wanted.count(), 10_000)
@@ -237,9 +240,9 @@ def _met(members: DataFrame, heads: DataFrame, bucket_cap: int, rows: int) -> Da
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_links(distinct: DataFrame, slim: DataFrame, words: int = SHINGLE_WORDS, least: float = LEAST, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """(a, b): links between the keys of ``distinct`` (row, key, blocks, rough, bits) whose components are
-    those of all similar pairs that share a block."""
+def similar_components(distinct: DataFrame, slim: DataFrame, words: int = SHINGLE_WORDS, least: float = LEAST, bucket_cap: int = BUCKET_CAP) -> DataFrame:
+    """(node, root) for the keys of ``distinct`` (row, key, blocks, rough, bits) that have a link: the
+    components of all similar pairs that share a block."""
     rows = distinct.count()
     filed = distinct.filter(F.col("key") != _key(np.zeros(0, np.uint64))).select("key", F.explode("blocks").alias("block"))
     heads = distinct.select("row", "key", "rough", "bits")
@@ -254,23 +257,21 @@ def similar_links(distinct: DataFrame, slim: DataFrame, words: int = SHINGLE_WOR
     met = buckets.filter("n = 2").select("centre", "other").union(around).select(F.greatest("centre", "other").alias("a"), F.least("centre", "other").alias("b")).distinct()
     near = materialize(_near(met, heads), "similar-near", 16 * ROWS_AT_ONCE, rows)
 
-    def apart(links: DataFrame) -> DataFrame:
+    def apart(roots: DataFrame) -> DataFrame:
         """The near pairs between different components."""
-        roots = materialize(connected_components(links, rows=rows), "similar-roots", rows=rows)
         both = near.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
         both = both.withColumn("root_a", F.coalesce("root_a", "a")).withColumn("root_b", F.coalesce("root_b", "b"))
         return both.filter("root_a <> root_b")
 
     ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.struct("bits", "a", "b").alias("p")), F.struct(F.col("b").alias("key"), F.struct("bits", "a", "b").alias("p")))).alias("e"))
     nearest = ends.groupBy("e.key").agg(F.min("e.p").alias("p")).select("p.a", "p.b").distinct()
-    links = _verified(nearest, heads, slim, words, least, rows)
-    between = apart(links).groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b")
-    links = links.unionByName(_verified(between, heads, slim, words, least, rows))
+    roots = materialize(connected_components(_verified(nearest, heads, slim, words, least, rows), rows=rows), "similar-roots", rows=rows)
+    between = apart(roots).groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b")
+    roots = joined_components(roots, _verified(between, heads, slim, words, least, rows), rows)
 
-    roots = connected_components(links, rows=rows).toDF("key", "root")
-    labelled = materialize(members.join(roots, "key", "left").select("block", "key", F.coalesce("root", "key").alias("root")), "similar-labelled", rows=rows)
-    rest = _met(labelled, heads, bucket_cap, rows).unionByName(apart(links).select("a", "b")).distinct()  # and the pairs of buckets of two
-    return links.unionByName(_verified(rest, heads, slim, words, least, rows))
+    labelled = materialize(members.join(roots.toDF("key", "root"), "key", "left").select("block", "key", F.coalesce("root", "key").alias("root")), "similar-labelled", rows=rows)
+    rest = _met(labelled, heads, bucket_cap, rows).unionByName(apart(roots).select("a", "b")).distinct()  # and the pairs of buckets of two
+    return joined_components(roots, _verified(rest, heads, slim, words, least, rows), rows)
 
 
 def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words: int = SHINGLE_WORDS, least: float = LEAST, bucket_cap: int = BUCKET_CAP) -> DataFrame:
@@ -289,7 +290,7 @@ def similar_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))
     winners = materialize(rows.groupBy("key").agg(F.min(first).alias("first")), "similar-keys", rows=count)
     distinct = materialize(rows.join(winners.select("key", F.col("first.row").alias("row")), ["key", "row"], "left_semi").select("row", "key", "blocks", "rough", "bits"), "similar-distinct", rows=count, per_file=20_000)
-    roots = connected_components(similar_links(distinct, slim, words, least, bucket_cap), rows=count)
+    roots = similar_components(distinct, slim, words, least, bucket_cap)
     rooted = winners.join(roots, winners["key"] == roots["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("winner"))
     labels = rooted.join(best, "root").select("key", F.col("winner.id").alias("component_id"), F.col("winner.row").alias("kept_row"))

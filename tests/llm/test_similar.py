@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline as pipeline
-from menuspark.llm import similar
+from menuspark.llm import simhash, similar
 from menuspark.llm.simhash import MAX_BITS, fingerprint
 
 
@@ -102,3 +102,26 @@ def test_rows_nulls_repeats_and_empty_table(frame):
     assert sorted((r.id is None, r.id or 0, r.component_id) for r in found) == sorted([(False, 5, 3), (False, 3, 3), (False, 3, 3), (False, 9, 8), (False, 8, 8), (True, 0, 8), (False, 1, 1)])
     assert sorted(r.id for r in found if r.kept) == [1, 3, 8]
     assert similar.similar_duplicates(frame([])).count() == 0
+
+
+def test_later_links_join_components_without_the_first_links(spark, frame, monkeypatch):
+    links = [(i, i + 1) for i in range(0, 40, 2)] + [(50, 51), (51, 52), (60, 70)]
+    later = [(1, 2), (3, 50), (80, 81), (61, 60), (70, 60)]
+    make = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    whole = {r.node: r.root for r in simhash.connected_components(make(links + later)).collect()}
+    roots = simhash.connected_components(make(links))
+    joined = simhash.joined_components(roots, make(later)).collect()
+    assert len(joined) == len(whole) and {r.node: r.root for r in joined} == whole
+    assert simhash.joined_components(roots, make([(51, 50)])) is roots
+
+    seen = []
+
+    def counted(links, max_rounds=60, rows=None, rounds=simhash.connected_components):
+        seen.append(links.filter("a <> b").count())
+        return rounds(links, max_rounds, rows)
+
+    for module in (simhash, similar):
+        monkeypatch.setattr(module, "connected_components", counted)
+    rows = corpus()
+    similar.similar_duplicates(frame([(i, t, "s") for i, t in rows]))
+    assert seen[0] > 0 and sum(seen[1:]) < seen[0]  # before, every call went through all links again
